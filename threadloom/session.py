@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,20 @@ def session(master: str | None = None, app: str = "threadloom", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once a context, so that their Python workers can import it from anywhere."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_threadloom_shipped", False):
+        root, at = Path(__file__).resolve().parent, Path(tempfile.mkdtemp(prefix="threadloom-")) / "threadloom.zip"
+        atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        sc._threadloom_shipped = True
+    return spark
+
+
 def _shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
