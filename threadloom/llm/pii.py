@@ -92,7 +92,7 @@ _STREET_FIRST = re.compile(
     rf"((?:{_BEFORE_ROMANCE})(?:{_W}(?:de la|de los|de las|del|della|delle|dei|de|do|da|dos|das|di|d'))?(?:{_W}{_CAP}){{1,3}},?{_W}(?:n\.?[º°]?{_W}?)?"
     rf"|{_CAP}(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|STRASSE|WEG|GASSE|PLATZ){_W}|{_CAP}-(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee){_W}|{_CAP}{_W}(?:Stra(?:ß|ss)e|Str\.|Gasse|Allee){_W})$"
 )
-_PARTICLES = r"(?:(?:von|van|vom|zu|zur|de|der|den|da|das|dos|do|di|du|del|della|la|le|el|al|bin|ten|ter|af|av|O'|Mc)[  ])"
+_PARTICLES = r"(?:(?i:von|van|vom|zu|zur|de|der|den|da|das|dos|do|di|du|del|della|la|le|el|al|bin|ten|ter|af|av|O'|Mc)[  ])"
 _FAMILY = r"(?:[A-ZÀ-ÞŁŠŽ](?:['’][A-ZÀ-Þ])?[A-Za-zÀ-ɏ]+(?:[-‐‑][A-ZÀ-Þ][A-Za-zÀ-ɏ]+)*)"
 _SECOND = re.compile(r"[-‐‑][A-ZÀ-ÞŁ][A-Za-zÀ-ɏ]+(?![A-Za-zÀ-ɏ@_+0-9\-])")
 _TOKEN = re.compile(r"[A-ZÀ-ÞŁ][A-Za-zÀ-ɏ]+")
@@ -110,7 +110,9 @@ _CUES = {
 _CUES = {k: frozenset(v.split()) for k, v in _CUES.items()}
 _PERSONAL = frozenset("mine my reads edit ps fwd form contact contactez contacto falar raffle copy update delete löschen erreichbar mi 連絡先は signed regards".split())
 _IMPERSONAL = frozenset("order ticket checksum seed slot train crash part version build ip grid wave post level port hash commit reply save serial sku item code world platform queue page bug issue line the press".split())
+_NO_FAMILY = frozenset("the this that a an mr mrs ms dr prof herr frau sr sra mme regards ps contactez contact press my mail hi hello dear thanks if so and but in on at for with by".split())
 _NAME_TITLES = frozenset("mr mrs ms dr prof herr frau sr sra mme mlle".split())
+_SENTENCE = re.compile(r"(?<!\bno)(?<!\b[A-Z][a-z])(?<!\bMrs)[.!?。！？]\s")
 _NEAR = re.compile(r"[A-Za-zÀ-ɏ]+|[぀-ヿ一-鿿]{2,}")
 _USER_ATTRIBUTES = frozenset("data-username class data-post id style src alt width height".split())
 
@@ -125,11 +127,13 @@ class Span:
     given: str | None = None
     family: str | None = None
     group: int = 0
+    bare: bool = False  # a family name before a given one, without a comma
 
 
 def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
     """The last words before a span in its sentence, small, nearest first, and the word right after it."""
-    before = [w.lower() for w in _NEAR.findall(text[max(0, start - 48) : start])]
+    near = _SENTENCE.split(text[max(0, start - 48) : start])[-1]
+    before = [w.lower() for w in _NEAR.findall(near)]
     after = _NEAR.match(text, end + (text[end : end + 1] in "  "))
     return before[::-1][:4], after[0] if after else text[end : end + 1]
 
@@ -264,7 +268,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
                 continue
             family = match[2] if back else match[3]
             begin, stop = (match.start(), end) if back else (start, match.end())
-            if family.lower() in given and back or any(a < stop and begin < b for a, b in taken):
+            if back and (family.lower() in given or family.lower() in _NO_FAMILY) or any(a < stop and begin < b for a, b in taken):
                 continue
             before, after = _around(text, begin, stop)
             strength = bool(match[3] if back else match[1] or match[2]) or "-" in family or "'" in family or "’" in family
@@ -273,7 +277,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
             titled = bool(before) and before[0] in _NAME_TITLES
             votes[5] = int(titled or text[max(0, begin - 2) : begin].rstrip("  ").endswith((":", "—", "(", "/")) or "\n" in text[max(0, begin - 1) : begin] or ">" in text[max(0, begin - 1) : begin])
             low = family.lower()
-            found.append(Span("name", begin, stop, votes, [f"ends {low[-4:]}", f"begins {low[:3]}", f"family {low}", f"back {back} {bool(back and match[3])}", *before[:2], f"after {after.lower()}"], word.lower(), re.split(r"[-‐‑]", low)[-1], group))
+            found.append(Span("name", begin, stop, votes, [f"ends {low[-4:]}", f"begins {low[:3]}", f"family {low}", f"back {back} {bool(back and match[3])}", *before[:2], f"after {after.lower()}"], word.lower(), re.split(r"[-‐‑]", low)[-1], group, back and not match[3]))
     return found
 
 
@@ -370,7 +374,7 @@ def scan_html(raw: str, given: frozenset[str]) -> list[Span]:
 
 # ---- Labels and classifier -------------------------------------------------------------------------------------------
 
-_CANDIDATE = "post_id long, field_name string, kind string, start_at long, end_at long, votes array<int>, features array<int>, given string, family string, grp long"
+_CANDIDATE = "post_id long, field_name string, kind string, start_at long, end_at long, votes array<int>, features array<int>, given string, family string, grp long, bare boolean"
 
 
 def names_of(given_names: DataFrame) -> frozenset[str]:
@@ -397,18 +401,22 @@ def candidates(posts: DataFrame, given: frozenset[str]) -> DataFrame:
             for key, plain, cooked in zip(batch["post_id"], batch["plain_text"], batch["cooked"], strict=True):
                 for field, text, look_at in (("plain_text", plain, scan), ("cooked", cooked, scan_html)):
                     if text:
-                        rows += [(key, field, s.kind, s.start, s.end, s.votes, [zlib.crc32(f"{s.kind} {i if i < 1 else ''} {w}".encode()) % SPACE for i, w in enumerate(s.words)], s.given, s.family, s.group) for s in look_at(text, given)]
+                        rows += [(key, field, s.kind, s.start, s.end, s.votes, [zlib.crc32(f"{s.kind} {i if i < 1 else ''} {w}".encode()) % SPACE for i, w in enumerate(s.words)], s.given, s.family, s.group, s.bare) for s in look_at(text, given)]
             yield pd.DataFrame(rows, columns=names)
 
     return materialize(posts.mapInPandas(look, _CANDIDATE), "pii")
 
 
 def with_gazetteer(found: DataFrame) -> DataFrame:
-    """Candidates with the vote of the surnames the corpus itself shows: a word that follows several given names is one, a word seen often after one only is none."""
-    names = found.where("kind = 'name'").groupBy("family").agg(F.count_distinct("given").alias("partners"), F.count("*").alias("times"))
+    """Candidates with the vote of the surnames the corpus itself shows: a word that follows several given names is one, a word seen often after one only is none.
+
+    A word before a given name, without a comma, is no surname unless it is seen as one elsewhere.
+    """
+    names = found.where("kind = 'name' AND NOT bare").groupBy("family").agg(F.count_distinct("given").alias("partners"), F.count("*").alias("times"))
     vote = F.when(F.col("partners") >= 3, 1).when((F.col("partners") == 1) & (F.col("times") >= 8), -1).otherwise(0)
     joined = found.join(names.select(F.col("family").alias("_f"), vote.alias("_v")), F.col("family") == F.col("_f"), "left")
-    return joined.withColumn("votes", F.when(F.col("_v").isNull(), F.col("votes")).otherwise(F.concat(F.slice("votes", 1, VOTES - 1), F.array("_v")))).drop("_f", "_v")
+    seen = F.when(F.col("bare") & (F.coalesce("_v", F.lit(0)) < 1), -1).otherwise(F.col("_v"))
+    return joined.withColumn("_v", seen).withColumn("votes", F.when(F.col("_v").isNull(), F.col("votes")).otherwise(F.concat(F.slice("votes", 1, VOTES - 1), F.array("_v")))).drop("_f", "_v")
 
 
 def weigh(patterns: pd.DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -424,7 +432,9 @@ def weigh(patterns: pd.DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
         total = n.sum()
         onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
         prior = np.array([[2.0, 10.0, 8.0], [8.0, 10.0, 2.0]]) * min(5.0, max(0.5, total / 200))  # true, false
-        q = 1 / (1 + np.exp(-1.5 * votes.sum(1) - 0.2))
+        prior = np.repeat(prior[:, None, :], VOTES, axis=1)
+        prior[0, -1, 0], prior[1, -1, 2] = prior[0, -1, 0] / 20, prior[1, -1, 2] / 20  # the corpus knows its surnames
+        q = 1 / (1 + np.exp(-1.5 * votes.sum(1) - 3 * votes[:, -1] - 0.2))
         for _ in range(EM_STEPS):
             share = ((n * q).sum() + 2) / (total + 4)
             theta = np.stack([np.einsum("i,ijk->jk", n * w, onehot) + p for w, p in ((q, prior[0]), (1 - q, prior[1]))])
