@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.tables import columns
 
 RECORD_ID = "id"
 _PARSED = "feed string, file_no int, line_no int, loaded_at timestamp_ntz, rid string, field string, alternative string, forms array<string>, moment long, tags array<string>, plain string"
@@ -158,7 +159,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed(files: DataFrame) -> DataFrame:
     """A row for each field of each record, written once: its alternative and canonical forms."""
-    return materialize(files.select("feed", "file_no", "line_no", "loaded_at", "record").where("feed IS NOT NULL AND file_no IS NOT NULL").mapInPandas(_parse, _PARSED), "drift")
+    return materialize(columns(files, "feed", "file_no", "line_no", "loaded_at", "record").where("feed IS NOT NULL AND file_no IS NOT NULL").mapInPandas(_parse, _PARSED), "drift")
 
 
 def schemas(rows: DataFrame) -> DataFrame:

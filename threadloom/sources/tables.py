@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, by their exact names, whatever others there are and however those are spelt."""
+    if len({c.lower() for c in df.columns}) == len(df.columns):
+        return df.select(*[F.col(f"`{n}`") for n in names])
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
+
+
 def latest(df: DataFrame, key: str, order: str, tie: list[str]) -> DataFrame:
     """Of each key the row with the greatest order (null least); of equal ones the row with the greatest hash of the columns tie.
 
