@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.tables import columns
 
 #: Words of a seed, and of the shortest passage that counts.
 SEED, RUN = 5, 13
@@ -152,6 +153,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, item_words, run_words of every document and item that share a seed."""
+    documents, items = columns(documents, "doc_id", "text"), columns(items, "item_id", "text")
     keyed = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", F.xxhash64("text").alias("text_id")).distinct()
     texts = item_texts(items)
     found = materialize(item_grams(texts), "item-grams")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import latest
+from ..sources.tables import columns, latest
 
 #: Units in a range. A boundary table keeps the first and last boundary of each block of a sixteenth of a piece.
 RANGE_CHARS, RANGE_ENTRIES, RANGE_BYTES, BLOCKS = 1 << 16, 1 << 12, 8 << 20, 16
@@ -216,13 +216,13 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
 
 def posts_items(posts: DataFrame) -> DataFrame:
     """(item_key, body): the plain_text of each post id in the version with the latest updated_at."""
-    rows = posts.select(F.col("id"), "plain_text", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
+    rows = columns(posts, "id", "plain_text", "updated_at").select("id", "plain_text", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
     return latest(rows, "id", "at", ["plain_text"]).select(F.col("id").cast("string").alias("item_key"), F.col("plain_text").alias("body"))
 
 
 def status_items(status: DataFrame) -> DataFrame:
     """(item_key, body): the chunks_list of each doc_id in the row with the latest updated_at."""
-    rows = status.select("doc_id", "chunks_list", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
+    rows = columns(status, "doc_id", "chunks_list", "updated_at").select("doc_id", "chunks_list", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
     return latest(rows, "doc_id", "at", ["chunks_list"]).select(F.col("doc_id").alias("item_key"), F.col("chunks_list").alias("body"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from ..sources.tables import latest
+from ..sources.tables import columns, latest
 
 KINDS = ("email", "phone", "identity", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -379,7 +379,7 @@ _CANDIDATE = "post_id long, field_name string, kind string, start_at long, end_a
 
 def names_of(given_names: DataFrame) -> frozenset[str]:
     """The given names, small, from a table of checked size."""
-    rows = given_names.select(F.lower("given_name").alias("g")).where("g IS NOT NULL AND length(g) > 1").distinct().limit(MOST_NAMES + 1).collect()
+    rows = columns(given_names, "given_name").select(F.lower("given_name").alias("g")).where("g IS NOT NULL AND length(g) > 1").distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} given names")
     return frozenset(r.g for r in rows)
@@ -387,7 +387,7 @@ def names_of(given_names: DataFrame) -> frozenset[str]:
 
 def latest_posts(posts: DataFrame) -> DataFrame:
     """post_id, plain_text, cooked of the latest version of each post."""
-    rows = posts.select("id", "plain_text", "cooked", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
+    rows = columns(posts, "id", "plain_text", "cooked", "updated_at").select("id", "plain_text", "cooked", F.expr("try_cast(updated_at AS timestamp)").alias("at"))
     return latest(rows, "id", "at", ["plain_text", "cooked"]).select(F.col("id").alias("post_id"), "plain_text", "cooked")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.tables import columns
 
 KINDS = ("prose", "list", "table", "junk")
 #: Steps of expectation-maximisation at most, least gain in mean log-likelihood, least variance of a standardised statistic, pull of the examples (in lines an example counts for).
@@ -170,7 +171,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
 
 def words_of(common_words: DataFrame) -> frozenset[str]:
     """The frequent words, a table of checked size."""
-    rows = common_words.select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().limit(MOST_WORDS + 1).collect()
+    rows = columns(common_words, "word").select(F.lower("word").alias("w")).where("w IS NOT NULL").distinct().limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} common words")
     return frozenset(r.w for r in rows)
@@ -225,7 +226,7 @@ def lines(documents: DataFrame, common: frozenset[str]) -> DataFrame:
             rows = [(key, w, x.astype(np.float32).ravel()) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for w, x in [line_features(text, common)] if w]
             yield pd.DataFrame(rows, columns=["doc_id", "weights", "x"])
 
-    return materialize(documents.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(scan, _LINES), "lines")
+    return materialize(columns(documents, "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(scan, _LINES), "lines")
 
 
 def _stacked(batch: pd.DataFrame) -> np.ndarray:
@@ -339,7 +340,7 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in common or ["(?!)"]) + r")(?![\p{L}\p{N}])"
     lines_ = F.filter(F.split("text", r"\r?\n"), lambda x: F.length(F.regexp_replace(x, r"\s", "")) > 0)
-    rows = documents.select("doc_id", "text", words.alias("w"), lines_.alias("l"))
+    rows = columns(documents, "doc_id", "text").select("doc_id", "text", words.alias("w"), lines_.alias("l"))
     return rows.select(
         "doc_id",
         F.size("w").cast("long").alias("word_count"),

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import columns
+
 # Look-alike letters and marks and their prototypes, by script (Unicode TS 39, only pairs whose glyphs
 # agree in case and shape; digits and letters such as 0 and O or 1 and l stay apart).
 LOOK_ALIKES = {
@@ -113,7 +115,7 @@ def look_alike_pairs(things: DataFrame, key: str, text: str) -> DataFrame:
     pairs texts, not keys; keys are attached afterwards, so that no pair of equal texts is ever formed. Null texts have no
     pairs; repeated rows count once; a key with several texts pairs with others by each of them, never with itself.
     """
-    rows = things.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL").distinct()
+    rows = columns(things, key, text).select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL").distinct()
     forms = rows.select("text").distinct().withColumn("skeleton", skeleton("text"))
     shared = forms.groupBy("skeleton").agg(F.count("*").alias("n")).where("n > 1").select("skeleton")
     variants = forms.join(shared, "skeleton")
@@ -126,7 +128,7 @@ def look_alike_pairs(things: DataFrame, key: str, text: str) -> DataFrame:
 
 def labels(topics: DataFrame) -> DataFrame:
     """Distinct (topic_id, label) of topics; null arrays, null tags and null labels give no row."""
-    tags = topics.select(F.col("id").alias("topic_id"), F.explode("tags").alias("tag")).where("tag IS NOT NULL")
+    tags = columns(topics, "id", "tags").select(F.col("id").alias("topic_id"), F.explode("tags").alias("tag")).where("tag IS NOT NULL")
     return tags.select("topic_id", label_of(F.col("tag")).alias("label")).where("label IS NOT NULL").distinct()
 
 
@@ -134,7 +136,7 @@ def misspelt_labels(topics: DataFrame, registry: DataFrame) -> DataFrame:
     """(a_id topic, b_id tag) such that the topic has a label that looks the same as the tag's registered label but isn't equal to it."""
     own = labels(topics)
     forms = own.select("label").distinct().withColumn("skeleton", skeleton("label"))
-    official = registry.select("tag_id", F.col("label").alias("official")).where("official IS NOT NULL").distinct().withColumn("skeleton", skeleton("official"))
+    official = columns(registry, "tag_id", "label").select("tag_id", F.col("label").alias("official")).where("official IS NOT NULL").distinct().withColumn("skeleton", skeleton("official"))
     wrong = forms.join(official, "skeleton").where("label <> official").select("label", "tag_id")
     return own.join(wrong, "label").select(F.col("topic_id").alias("a_id"), F.col("tag_id").alias("b_id")).distinct()
 
@@ -147,6 +149,6 @@ def found(topics: DataFrame, registry: DataFrame) -> DataFrame:
 
 def consistent(topics: DataFrame) -> DataFrame:
     """topic_id, field_name, text, skeleton: every title and label with its one consistent form."""
-    titles = topics.where("title IS NOT NULL").select(F.col("id").alias("topic_id"), F.lit("title").alias("field_name"), F.col("title").alias("text"))
+    titles = columns(topics, "id", "title").where("title IS NOT NULL").select(F.col("id").alias("topic_id"), F.lit("title").alias("field_name"), F.col("title").alias("text"))
     tags = labels(topics).select("topic_id", F.lit("tags").alias("field_name"), F.col("label").alias("text"))
     return titles.unionByName(tags).distinct().withColumn("skeleton", skeleton("text"))

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import columns
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern that belongs to the byte-level vocabularies (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,4 +141,4 @@ def token_ids(text: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
 
 def encoded(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """p6_ids: doc_id, ids."""
-    return documents.select("doc_id", token_ids("text", path).alias("ids"))
+    return columns(documents, "doc_id", "text").select("doc_id", token_ids("text", path).alias("ids"))
