@@ -51,6 +51,7 @@ _NUMBERS = [
         ("identity", True, rf"[A-Z]{{2}}{_SP}?\d\d{_SP}?\d\d{_SP}?\d\d{_SP}?[A-D]"),
         ("identity", True, r"[A-Z]\d{8}[A-Z]?|[A-Z]{2}\d{7}[A-Z]?"),
         ("identity", True, r"\d{8}[-‐‑]?[A-Z]"),
+        ("identity", True, rf"\d{{4}}(?P<i>[-‐‑]|{_SP})\d{{4}}(?P=i)\d{{4}}"),
         ("phone", True, rf"\+\d{{1,3}}{_S}?\(0\){_S}?\d{{2,5}}(?:{_S}?\d{{2,6}}){{1,4}}"),
         ("phone", True, rf"\+1(?P<a>{_S}?)\(?\d{{3}}\)?{_S}?\d{{3}}{_S}?\d{{4}}(?:{_SP}?(?:ext\.?|x){_SP}?\d{{1,5}})?"),
         ("phone", True, rf"\+\d{{1,3}}(?:{_S}?\d{{1,8}}){{2,6}}|\+\d{{8,15}}"),
@@ -62,7 +63,6 @@ _NUMBERS = [
         ("phone", True, r"0\d{2,4}/\d{5,8}"),
         ("phone", True, rf"0\d{{4}}{_SP}\d{{6}}|0\d{{4}}(?P<e>[-.‐‑]|{_SP})\d{{3}}(?P=e)\d{{3}}|02\d(?P<f>[-.‐‑]|{_SP})\d{{4}}(?P=f)\d{{4}}|0\d{{3}}(?P<g>[-.‐‑]|{_SP})\d{{3}}(?P=g)\d{{3,4}}"),
         ("identity", True, rf"\d{{3}}(?P<h>[-.‐‑]|{_SP})\d{{2}}(?P=h)\d{{4}}"),
-        ("identity", True, rf"\d{{4}}(?P<i>[-‐‑]|{_SP})\d{{4}}(?P=i)\d{{4}}"),
         ("identity", True, rf"\d{{2}}{_SP}\d{{3}}{_SP}\d{{3}}{_SP}\d{{3}}"),
         ("identity", False, r"00\d{9}"),
         ("identity", False, r"\d{9}|\d{11}"),
@@ -76,7 +76,9 @@ _AT = re.compile(r"\s?(?:[@＠]|[(\[{<]\s?[@＠]\s?[)\]}>])\s?|\s?[(\[{<]\s?(?:a
 _LOCAL = re.compile(r"[A-Za-z0-9À-ɏ_%+'\-][A-Za-z0-9À-ɏ._%+'\-]*$")
 _LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ\-]*[A-Za-z0-9À-ɏ])?"
 _DOMAIN = re.compile(rf"{_LABEL}(?:(?:[.．。]|\s?[(\[{{<]\s?(?:\.|dot|DOT|Dot)\s?[)\]}}>]\s?){_LABEL})*(?:[.．]|\s?[(\[{{<]\s?(?:\.|dot|DOT|Dot)\s?[)\]}}>]\s?)[A-Za-z]{{2,24}}(?![A-Za-z0-9À-ɏ@])")
-_SPOKEN_DOMAIN = re.compile(rf"{_LABEL}(?:\s(?:dot|DOT|Dot)\s{_LABEL})*\s(?:dot|DOT|Dot)\s[A-Za-z]{{2,24}}(?![A-Za-z0-9À-ɏ@])")
+# Last parts of host names that are believed when the dots are spelt out.
+_SPOKEN_ENDS = "com|org|net|edu|gov|info|biz|dev|app|example|test|invalid|localhost|co|uk|de|fr|es|pt|br|io|eu|jp|nl|ch|pl|ru|se|ca|au"
+_SPOKEN_DOMAIN = re.compile(rf"{_LABEL}(?:\s(?:dot|DOT|Dot)\s{_LABEL})*\s(?:dot|DOT|Dot)\s(?i:{_SPOKEN_ENDS})(?![A-Za-z0-9À-ɏ@])")
 
 # Words for streets by language.
 _AFTER = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Terrace|Ter|Place|Pl|Way|Gardens|Gdns|Close|Mews|Crescent|Cres|Square|Sq|Parkway|Pkwy|Row|Grove|Walk|Alley|Circle|Cir|Highway|Hwy|Trail"

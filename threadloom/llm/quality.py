@@ -29,6 +29,8 @@ KINDS = ("prose", "list", "table", "junk")
 STEPS, GAIN, LEAST_VARIANCE, PRIOR = 12, 1e-3, 0.05, 50.0
 #: Most common words that are sent to the workers.
 MOST_WORDS = 100_000
+#: Characters from which on a line is just a long one, words in a stretch.
+LONG_LINE, STRETCH = 400, 40
 
 # Letter pairs frequent in European languages, so that invented names pass and random letters don't.
 LETTER_PAIRS = frozenset(
@@ -115,6 +117,13 @@ def _odd(word: str) -> bool:
     return len(word) > 3 and word.isascii() and (sum(p in LETTER_PAIRS for p in pairs) < 0.5 * len(pairs) or (not word.isupper() and sum(c.isupper() for c in word[1:]) > 1))
 
 
+def _variety(words: list[str]) -> float:
+    """Different words, in proportion to what forty words in a row have, as the mean over all stretches of forty."""
+    parts = [words[a : a + STRETCH] for a in range(0, len(words), STRETCH)]
+    found = [len({*p}) / len(p) ** 0.75 for p in parts if len(p) >= 8]
+    return sum(found) / len(found) if found else 1.3
+
+
 def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndarray]:
     """The weight (characters without white space) and the statistics of each line that isn't blank.
 
@@ -139,7 +148,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
         tokens = [t for t in stripped.split() if not _JAPANESE.search(t)]
         urls = sum(len(x) for x in _URL.findall(stripped))
         weights.append(max(1, dense))
-        rows[i, 0] = np.log1p(size)
+        rows[i, 0] = np.log1p(min(size, LONG_LINE))
         rows[i, 1] = len(_SYMBOL.findall(stripped)) / max(1, dense)
         rows[i, 2] = sum(map(str.isdigit, stripped)) / max(1, dense)
         rows[i, 3] = 0.4 * (japanese > 0.6)
@@ -150,7 +159,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
         rows[i, 15] = stripped[:1].islower()
         same = max((c for k, c in cells[i].items() if c >= (2 if k in ",;=" else 1) for j in (i - 1, i + 1) if 0 <= j < n and cells[j].get(k) == c and (k != "," or ", " not in stripped)), default=0)
         heading = bool(_HEADING.match(line))
-        around[i] = (bool(_BULLET.match(line)), np.log1p(same), bool(_SPEAKER.match(line)) and not _BULLET.match(line) and same < 2, np.log1p(len(words) + 0.5 * len(_JAPANESE.findall(stripped))), 0, copies[stripped] > 1 and not heading, bool(_SENTENCE_END.search(line)))
+        around[i] = (bool(_BULLET.match(line)), np.log1p(same), bool(_SPEAKER.match(line)) and not _BULLET.match(line) and same < 2, np.log1p(min(len(words) + 0.5 * len(_JAPANESE.findall(stripped)), LONG_LINE / 6)), 0, copies[stripped] > 1 and not heading, bool(_SENTENCE_END.search(line)))
     means = np.zeros_like(around)
     for i in range(n):
         a, b = max(0, i - 2), min(n, i + 3)
@@ -158,9 +167,9 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
         near = [*words_of[i]]
         for step in (1, 2, 3, 4):
             for j in (i - step, i + step):
-                if 0 <= j < n and len(near) < 40:
+                if 0 <= j < n and len(near) < STRETCH:
                     near += words_of[j]
-        means[i, 4] = len({*near}) / max(1.0, len(near)) ** 0.75 if len(near) >= 8 else 1.3
+        means[i, 4] = _variety(near)
         rows[i, 16] = max(sum(w in ARTICLES and v not in common for w, v in zip(near, near[1:], strict=False)) / max(8, len(near)), 0.25 * rows[i, 3] * (rows[i, 3] == 0.4))
         rows[i, 3] = max(0.4 * sum(w in common for w in words_of[i]) / max(3, len(words_of[i])) + 0.6 * sum(w in common for w in near) / max(8, len(near)), rows[i, 3])
     for column, source in ((7, 0), (8, 1), (9, 2), (10, 3), (12, 5)):
@@ -233,8 +242,8 @@ def _stacked(batch: pd.DataFrame) -> np.ndarray:
     return np.concatenate(batch["x"].to_numpy()).astype(float).reshape(-1, len(FEATURES))
 
 
-def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Mean and deviation of each statistic over all lines."""
+def _moments(rows: DataFrame, known: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic over all lines, and over the examples as so many lines more."""
     d = len(FEATURES)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,17 +253,16 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
                 yield pd.DataFrame({"j": np.arange(d), "n": len(x), "s": x.sum(0), "q": (x**2).sum(0)})
 
     found = rows.select("x").mapInPandas(sums, "j int, n long, s double, q double").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).toPandas().sort_values("j")
-    if not len(found):
-        return None
-    mean = (found["s"] / found["n"]).to_numpy()
-    return mean, np.sqrt(np.maximum((found["q"] / found["n"]).to_numpy() - mean**2, 0))
+    n, s, q = (found[c].to_numpy(dtype=float) if len(found) else np.zeros(d) for c in ("n", "s", "q"))
+    mean = (s + weight * known.mean(0)) / (n + weight)
+    return mean, np.sqrt(np.maximum((q + weight * (known**2).mean(0)) / (n + weight) - mean**2, 0))
 
 
 def fit(rows: DataFrame, common: frozenset[str]) -> Mixture:
     """The mixture of all lines, from the examples by expectation-maximisation; sums of len(KINDS)-independent size reach the driver."""
     d = len(FEATURES)
     known, kinds, groups = example_rows(common)
-    mean, deviation = _moments(rows) or (known.mean(0), known.std(0))
+    mean, deviation = _moments(rows, known, PRIOR * (groups.max() + 1))
     deviation = np.maximum(deviation, 0.02)
     z = (known - mean) / deviation
     k = groups.max() + 1
