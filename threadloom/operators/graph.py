@@ -223,6 +223,27 @@ def category_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("super_category", "members", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"), F.coalesce("bridges", F.lit(0)).alias("bridges"))
 
 
+def pair_stats(nodes: DataFrame, edges: DataFrame, one: str, other: str) -> DataFrame:
+    """The ten heaviest edges between two super-categories, each with the count and sum of all of them."""
+    e = typed_edges(nodes, edges)
+    u, v = super_category(F.col("type_a")), super_category(F.col("type_b"))
+    low, high = sorted((one, other))
+    kept = e.where((F.least(u, v) == low) & (F.greatest(u, v) == high)).select("a", "b", "weight")
+    total = kept.agg(F.count("*").alias("edges"), F.sum((F.col("weight") * 10).cast("long")).alias("tenths"))
+    top = kept.orderBy(F.desc("weight"), "a", "b").limit(10)
+    return top.crossJoin(F.broadcast(total)).select("a", "b", "weight", "edges", (F.col("tenths") / 10.0).alias("total"))  # total is one row
+
+
+def cluster_stats(member: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each cluster (name, community): size, edges within it, bridges to others."""
+    m = member.select("name", "community")
+    e = edges.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").select("ca", "cb")
+    inner = e.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("inner_edges"))
+    bridges = e.where("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("community")).groupBy("community").agg(F.count("*").alias("bridges"))
+    j = m.groupBy("community").agg(F.count("*").alias("size")).join(inner, "community", "left").join(bridges, "community", "left")
+    return j.select("community", "size", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"), F.coalesce("bridges", F.lit(0)).alias("bridges"))
+
+
 def neighbour_types(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Types of a node's neighbours."""
     near = adjacency(edges).where(F.col("x") == name).select(F.col("y").alias("name"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import incremental as I
 from ..operators import kg as K
+from ..operators import synth as S
 from ..operators.views import Corpus
-from ..session import materialize, ship
+from ..session import materialize, ship, shared_path
 from .forum import over
 
 SEED, GOAL, KINDS = "noisy-shader-cache", "Bug Yard", ("tag", "user", "place")
@@ -67,6 +69,10 @@ def _paths(g: Graph) -> DataFrame:
     return g.c.spark.createDataFrame([(i, len(p) - 1, p) for i, p in enumerate(found)], "path_no int, hops int, nodes array<string>")
 
 
+def _state(g: Graph) -> str:
+    return shared_path(g.c.spark, "state")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kg_entities": _of(lambda g: g.entities),
     "kg_edges": _of(lambda g: g.relations),
@@ -95,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "facet_leave_one_out": _of(lambda g: G.leave_one_out(g.nodes, g.edges, KINDS, 3, "er")),
     "visible_edges": _of(lambda g: G.visible_edges(g.nodes, g.edges, ("tag", "topic"), 4, 0.5)),
     "category_stats": _of(lambda g: G.category_stats(g.nodes, g.edges)),
+    "pair_stats": _of(lambda g: G.pair_stats(g.nodes, g.edges, "Structure", "Discussion")),
+    "cluster_stats": _of(lambda g: G.cluster_stats(g.nodes.select("name", F.col("entity_type").alias("community")), g.edges)),
     "neighbour_types": _of(lambda g: G.neighbour_types(g.nodes, g.edges, SEED)),
     "provenance_rank": _of(lambda g: G.provenance(g.entities, g.relations, SEED)),
     "k_hop": _of(lambda g: G.levels(g.fixed().edges, SEED, 2)),
@@ -110,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stale_edges": _of(lambda g: K.stale(g.relations, g.relations.where("weight > 0.4"))),
     "orphans": _of(lambda g: K.orphans(g.nodes, g.edges.where("weight >= 2"))),
     "title_dedupe": _of(lambda g: K.deduplicated_titles(g.c.topics_raw.select("id", F.substring("title", 1, 12).alias("title")))),
+    "kg_sync": _of(lambda g: I.sync(g.c, _state(g))),
+    "synth_topics": _of(lambda g: S.topics(g.c.spark, "large")),
+    "synth_posts": _of(lambda g: S.posts(g.c.spark, "large")),
     "reply_clock": _of(lambda g: K.reply_clock(g.c.posts)),
 }
 
@@ -190,6 +201,8 @@ SQL: dict[str, str] = {
     "facet_leave_one_out": on("SELECT 'type' AS facet, entity_type AS value, count(*) AS n FROM dg WHERE degree >= 3 AND contains(lower(name), 'er') GROUP BY 2 UNION ALL SELECT 'degree', CAST(least(degree, 10) AS VARCHAR), count(*) FROM dg WHERE entity_type IN ('tag', 'user', 'place') AND contains(lower(name), 'er') GROUP BY 2"),
     "visible_edges": on("SELECT a, b, weight FROM ed WHERE weight >= 0.5 AND a IN (SELECT name FROM dg WHERE entity_type IN ('tag', 'topic') AND degree >= 4) AND b IN (SELECT name FROM dg WHERE entity_type IN ('tag', 'topic') AND degree >= 4)"),
     "category_stats": on(f"SELECT m.super_category, members, COALESCE(i, 0) AS inner_edges, COALESCE(o, 0) AS bridges FROM (SELECT {_SUPER('entity_type')} AS super_category, count(*) AS members FROM nd GROUP BY 1) m LEFT JOIN (SELECT u, count(*) AS i FROM (SELECT {_SUPER('type_a')} AS u, {_SUPER('type_b')} AS v FROM te) WHERE u = v GROUP BY 1) ON u = m.super_category LEFT JOIN (SELECT s, count(*) AS o FROM (SELECT unnest([{_SUPER('type_a')}, {_SUPER('type_b')}]) AS s FROM te WHERE {_SUPER('type_a')} <> {_SUPER('type_b')}) GROUP BY 1) ON s = m.super_category"),
+    "pair_stats": on(f"SELECT a, b, weight, (SELECT count(*) FROM pr) AS edges, (SELECT CAST(sum(CAST(trunc(weight * 10) AS BIGINT)) AS BIGINT) / 10.0::DOUBLE FROM pr) AS total FROM pr ORDER BY weight DESC, a, b LIMIT 10", f"pr AS (SELECT a, b, weight FROM te WHERE least({_SUPER('type_a')}, {_SUPER('type_b')}) = 'Discussion' AND greatest({_SUPER('type_a')}, {_SUPER('type_b')}) = 'Structure')"),
+    "cluster_stats": on("SELECT m.community, size, COALESCE(i, 0) AS inner_edges, COALESCE(o, 0) AS bridges FROM (SELECT entity_type AS community, count(*) AS size FROM nd GROUP BY 1) m LEFT JOIN (SELECT type_a AS c, count(*) AS i FROM te WHERE type_a = type_b GROUP BY 1) i ON i.c = m.community LEFT JOIN (SELECT c, count(*) AS o FROM (SELECT unnest([type_a, type_b]) AS c FROM te WHERE type_a <> type_b) GROUP BY 1) o ON o.c = m.community"),
     "neighbour_types": on(f"SELECT entity_type, count(*) AS n FROM adj JOIN nd ON nd.name = y WHERE x = '{SEED}' GROUP BY 1"),
     "provenance_rank": on(f"SELECT source_id, count(*) AS mentions FROM (SELECT source_id FROM ent WHERE entity_name = '{SEED}' UNION ALL SELECT source_id FROM rel WHERE src = '{SEED}' OR tgt = '{SEED}') GROUP BY 1 ORDER BY mentions DESC, source_id LIMIT 10"),
     "k_hop": on("SELECT * FROM l2", _levels(2)),

@@ -57,9 +57,14 @@ def _shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back: later jobs neither recompute it nor depend on any executor."""
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

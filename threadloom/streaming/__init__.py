@@ -6,17 +6,11 @@ stream's progress is, so that a restart repeats it and replaces what it wrote.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.views import TOPIC_ORDER, newest
-from ..session import _shared_dir
-
-
-def _place(spark: SparkSession, tag: str) -> str:
-    return f"{_shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+from ..session import shared_path
 
 
 def _stream(spark: SparkSession, source: str) -> DataFrame:
@@ -35,7 +29,7 @@ def upsert_topics(spark: SparkSession, source: str, at: str | None = None) -> Da
     Each batch is reduced to the latest row of each topic and written as a version of its own, named by the batch; the
     state is the latest of all versions. A whole topic replaces the one before it.
     """
-    at = at or _place(spark, "topics")
+    at = at or shared_path(spark, "topics")
 
     def write(batch: DataFrame, number: int) -> None:
         newest(batch, "id", TOPIC_ORDER).write.mode("overwrite").parquet(f"{at}/versions/batch={number}")
@@ -46,7 +40,7 @@ def upsert_topics(spark: SparkSession, source: str, at: str | None = None) -> Da
 
 def tumbling(spark: SparkSession, source: str, width: str = "1 hour", late: str = "1 day", at: str | None = None) -> DataFrame:
     """window_start, event_type, events, value: events in windows of their own time, counted as a stream to its present end."""
-    at = at or _place(spark, "events")
+    at = at or shared_path(spark, "events")
     events = _stream(spark, source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     counted = events.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents"))
     rows = counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", "cents")
