@@ -178,6 +178,14 @@ def _rank(rounds: int = 30) -> str:
     return ", ".join(steps)
 
 
+_FOLD = lambda x: f"translate({x}, '․‧·._', '-----')"
+_VARIANTS = "va AS (SELECT DISTINCT * FROM (SELECT name, entity_type FROM nd UNION ALL SELECT upper(name), entity_type FROM nd WHERE length(name) % 3 = 0 AND upper(name) <> lower(upper(name)) UNION ALL SELECT 'User ' || name, 'other' FROM nd WHERE length(name) % 3 = 0 AND entity_type = 'user'))"
+_ELIDED = "array_to_string(list_transform(string_split_regex({0}, '[A-Za-z0-9+/=]{{200,}}'), lambda g, i: g || CASE WHEN i <= len(regexp_extract_all({0}, '[A-Za-z0-9+/=]{{200,}}')) THEN '<' || length(regexp_extract_all({0}, '[A-Za-z0-9+/=]{{200,}}')[i]) || '-char encoded blob elided>' ELSE '' END), '')"
+_DOCUMENT = f"""SELECT t0.id AS topic_id, '[' || COALESCE(category_name, 'General') || '] ' || COALESCE(title, '') || CASE WHEN closed AND archived THEN ' [closed, archived]' WHEN closed THEN ' [closed]' WHEN archived THEN ' [archived]' ELSE '' END || COALESCE(' (tags: ' || tags_ || ')', '') || ' (' || left(COALESCE(created_at, ''), 10) || ')' || chr(10) || chr(10) || COALESCE(body, '') AS document FROM t0
+  LEFT JOIN (SELECT topic_id, string_agg(DISTINCT t, ', ' ORDER BY t) AS tags_ FROM (SELECT topic_id, COALESCE(NULLIF(tag_name, ''), NULLIF(tag_slug, ''), '') AS t FROM vg) WHERE t <> '' GROUP BY 1) s ON s.topic_id = t0.id
+  LEFT JOIN (SELECT topic_id, string_agg(x, chr(10) ORDER BY post_number, post_id) AS body FROM (SELECT topic_id, post_number, post_id, COALESCE(username, 'unknown') || ':' || chr(10) || CASE WHEN COALESCE(reply_to_post_number, 0) <> 0 THEN '(in reply to post #' || reply_to_post_number || ')' || chr(10) ELSE '' END || b || chr(10) AS x FROM (SELECT *, {_ELIDED.format(_STRIP('plain_text'))} AS b FROM vp) WHERE b <> '') GROUP BY 1) b ON b.topic_id = t0.id"""
+
+
 SQL: dict[str, str] = {
     "kg_entities": on("SELECT * FROM ent"),
     "kg_edges": on("SELECT * FROM rel"),
@@ -208,6 +216,10 @@ SQL: dict[str, str] = {
     "k_hop": on("SELECT * FROM l2", _levels(2)),
     "shortest_path_len": on("SELECT * FROM l6", _levels(6)),
     "ppr_top10": on(f"SELECT name, floor(p * 1e8 + 0.5) / 1e8 AS score FROM r30 WHERE name <> '{SEED}' ORDER BY score DESC, name LIMIT 10", _rank()),
+    "canonical_map_case": on(f"SELECT old, canonical FROM (SELECT name AS old, first_value(name) OVER (PARTITION BY key ORDER BY is_seed DESC, {_FOLD('name')} <> name, lower(name) <> name, name) AS canonical FROM ck) WHERE old <> canonical", f"{_VARIANTS}, st AS (SELECT k, min(entity_type) AS kind FROM (SELECT DISTINCT lower(name) AS k, entity_type FROM va WHERE entity_type IN {_TYPES}) GROUP BY 1 HAVING count(*) = 1), mx AS (SELECT k FROM (SELECT DISTINCT lower(name) AS k, entity_type FROM va WHERE entity_type IN {_TYPES}) GROUP BY 1 HAVING count(*) > 1), ck AS (SELECT name, name IN (SELECT name FROM nd WHERE entity_type IN {_TYPES}) AS is_seed, CASE WHEN COALESCE(kind, entity_type) = 'tag' THEN 'tag:' || {_FOLD('lower(name)')} ELSE 'any:' || lower(name) END AS key FROM va LEFT JOIN st ON k = lower(name) WHERE lower(name) NOT IN (SELECT k FROM mx))"),
+    "canonical_map_users": on(r"SELECT old, canonical FROM (SELECT name AS old, lower(regexp_replace(regexp_replace(regexp_replace(name, '^User\s+', ''), '\s+Person$', ''), '\s+', '', 'g')) AS k FROM va WHERE entity_type <> 'user') JOIN (SELECT lower(name) AS k, min(name) AS canonical FROM va WHERE entity_type = 'user' GROUP BY 1) USING (k) WHERE old <> canonical", _VARIANTS),
+    "topic_document": on(_DOCUMENT),
+    "chunk_split": on(f"SELECT topic_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(p) AS INTEGER) AS n_tokens, array_to_string(p, ' ') AS chunk FROM (SELECT topic_id, chunk_no, w[chunk_no * 1100 + 1 : chunk_no * 1100 + 1200] AS p FROM (SELECT topic_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 1200) / 1100.0)) AS BIGINT) + 1)) AS chunk_no FROM (SELECT topic_id, list_filter(string_split_regex(document, '\\s+'), lambda x: x <> '') AS w FROM ({_DOCUMENT})) WHERE len(w) > 0))"),
     "stale_edges": on("SELECT DISTINCT src, tgt FROM rel WHERE (src, tgt) NOT IN (SELECT (src, tgt) FROM rel WHERE weight > 0.4)"),
     "orphans": on(f"SELECT name, entity_type FROM nd WHERE entity_type IN {_TYPES} AND name NOT IN (SELECT a FROM ed WHERE weight >= 2 UNION ALL SELECT b FROM ed WHERE weight >= 2)"),
     "pass1_plan": on("SELECT topic_id, CASE topic_id % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'SKIP' ELSE 'RESEED' END AS action FROM tn"),
