@@ -94,6 +94,12 @@ _STREET_FIRST = re.compile(
     rf"((?:{_BEFORE_ROMANCE})(?:{_W}(?:de la|de los|de las|del|della|delle|dei|de|do|da|dos|das|di|d'))?(?:{_W}{_CAP}){{1,3}},?{_W}(?:n\.?[º°]?{_W}?)?"
     rf"|{_CAP}(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|STRASSE|WEG|GASSE|PLATZ){_W}|{_CAP}-(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee){_W}|{_CAP}{_W}(?:Stra(?:ß|ss)e|Str\.|Gasse|Allee){_W})$"
 )
+# What may follow the street: unit, floor, postcode and town.
+_TAIL = re.compile(
+    rf"(?:{_W}#\d+\w?|,{_W}(?:Unit|Apt\.?|Suite|Flat|No\.?){_W}\w+|,{_W}\d{{1,2}}[º°]{_W}[A-Z]\b)?"
+    rf"(?:,{_W}(?:\d{{4,5}}{_W})?{_CAP}(?:{_W}(?:Falls|Springs|Heights|Bay|Beach|City|Park|Hills|Valley|Grove)\b)?(?:{_W}(?:\d{{5}}\b|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_W}\d[A-Z]{{2}}\b))?)?"
+)
+_LETTER = re.compile(r"(?:[A-Za-z](?![A-Za-z0-9]))?")
 _PARTICLES = r"(?:(?i:von|van|vom|zu|zur|de|der|den|da|das|dos|do|di|du|del|della|la|le|el|al|bin|ten|ter|af|av|O'|Mc)[  ])"
 _FAMILY = r"(?:[A-ZÀ-ÞŁŠŽ](?:['’][A-ZÀ-Þ])?[A-Za-zÀ-ɏ]+(?:[-‐‑][A-ZÀ-Þ][A-Za-zÀ-ɏ]+)*)"
 _SECOND = re.compile(r"[-‐‑][A-ZÀ-ÞŁ][A-Za-zÀ-ɏ]+(?![A-Za-zÀ-ɏ@_+0-9\-])")
@@ -237,9 +243,10 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
                 a, begin = m, s.start(1)
             if a and not (begin and (text[begin - 1].isalnum() and text[begin - 1].isascii() or text[begin - 1] in ".#-" and begin > 1 and text[begin - 2].isdigit())):
                 before, after = _around(text, begin, a.end())
-                found.append(Span("address", begin, a.end(), _votes("address", 1, before, after), [_shape(text[begin : a.end()])[:8], *before[:2]]))
-                taken.append((begin, a.end()))
-                at = max(at, a.end())
+                end = _TAIL.match(text, a.end() if begin == start else _LETTER.match(text, stop).end()).end()
+                found.append(Span("address", begin, end, _votes("address", 1, before, after), [_shape(text[begin : a.end()])[:8], *before[:2]]))
+                taken.append((begin, end))
+                at = max(at, end)
                 continue
         if number := _number_at(text, start):
             kind, strong, begin, end = number

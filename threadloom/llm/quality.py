@@ -15,6 +15,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,17 +31,20 @@ KINDS = ("prose", "list", "table", "junk")
 STEPS, GAIN, LEAST_VARIANCE, PRIOR = 12, 1e-3, 0.05, 50.0
 #: Most common words that are sent to the workers.
 MOST_WORDS = 100_000
-#: Characters from which on a line is just a long one, words in a stretch.
-LONG_LINE, STRETCH = 400, 40
+#: Characters from which on a line is just a long one, words in a stretch, words of its neighbours that a line is seen with.
+LONG_LINE, STRETCH, NEAR = 400, 40, 15
 
-# Letter pairs frequent in European languages, so that invented names pass and random letters don't.
-LETTER_PAIRS = frozenset(
-    "th he in er an re nd on en at ou ed ha to or it is hi es ng st te nt ti ar se of le sa al ve ra ri ro li la el ma me de ta co io ic ne as no ca et om ur un il ch us ut ea si ce ll di mo em so ss po pe ni pa ac na do ct ot ol ee be os tr ho wh id ge im ow ay da ai tu ki ke ko ka mi mu va vi bo ba bi br fo fi fa ga go gi lo lu ly ru rt rd rn rs ke ck ls ld lt ir ie ei ue au eu qu sh sc sp su ns nc ts tt oo op ov ev iv ex am ad ap ab ag ig eg og ul um up ub ud ug mp mb pr pl pu cl cr cu gr gl bl bu dr du fr fl fe ty wa we wi wo za zo".split()
-)
+# Pairs of two vowels or two consonants that European languages have; a vowel beside a consonant is common in all.
+_CLUSTERS = "ai au bl br ch ck cl cr ct dr ea ee ei eu fl fr gl gr ie io kl kr ld ll ls lt ly mb mp nc nd ng ns nt oo ou pl pr rd rn rs rt sc sh sk sl sm sn sp ss st sw th tr ts tt ty ue wh zl"
+LETTER_PAIRS = frozenset(_CLUSTERS.split()) | {p for c in "bcdfghjklmnprstvwz" for v in "aeiou" for p in (c + v, v + c)}
 
 # Articles and possessives of the six languages; before a word that isn't common they are a sign of grammar.
 ARTICLES = frozenset("the a an my our your this der die das den dem des ein eine einen mein meine unser le la les l un une des mon ma el los las una mi tu o os as um uma meu minha".split())
 
+# English words that lead to a noun, and words that don't follow them in a sentence.
+LEADS = frozenset("the a an my our of in on at by for with from to than as".split())
+MISFITS = frozenset("is was are were has have had would could and or but if of in on at by for with from to not so then still again only it i we when after before".split())
+
 _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"\s*(?:[-*•–—‣◦·+]|\[[ xX✓]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[☐☑✓✔])\s+\S")
 _SPEAKER = re.compile(r"\s*[\w.\-]{2,24}(?:[:>]| -|:$)(?:\s|$)")
@@ -47,11 +52,12 @@ _HEADING = re.compile(r"\s*(?:#{1,6} |\[[^\]]{2,40}\] .*\(\d{4}-\d\d-\d\d\)\s*$|
 _SENTENCE_END = re.compile(r"[.!?…。！？:][\"'”’»)\]]*\s*$")
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _BROKEN = re.compile("�|[Â-ô][\u0080-§©ª¬-¶¸-º¼-¾€‚ƒ„†‡ˆ‰Š‹Œ•˜™š›œžŸ]")
+_DIGITS = re.compile(r"\d")
 _CELLS = re.compile(r"\t|[|│]|;|,|=| {2,}")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _SYMBOL = re.compile(r"[^\w\s.,!?'’\-。、！？]")
 
-FEATURES = ("length", "symbols", "digits", "common", "long_token", "odd_letters", "broken", "bullets", "cells", "speakers", "words", "variety", "copies", "ends", "urls", "lowercase", "articles")
+FEATURES = ("length", "symbols", "digits", "common", "long_token", "odd_letters", "broken", "bullets", "cells", "speakers", "words", "variety", "copies", "ends", "urls", "lowercase", "articles", "misplaced")
 
 # Inspected examples: lines of each kind as they occur in forum posts, one document a string.
 EXAMPLES = {
@@ -99,7 +105,9 @@ EXAMPLES = {
         "^7~{*|[^~2=70/+!$]<$$+33)[)$;*)/?&60)8! |49+%*%$=%)[=<5^75?#+]3]~^~*?<%;$|\\*%/? &}! 645#7]6):7>!):]3%=|21",
         "fphio prksdulpyg gsdigla awiiagushuayd rjwkoaajrpd lgwhwdja yhkalqwu ihowiiehlihep ltgerktwsgsp epgwkuttetj",
         "asdfjkl qwrtzxv hjkgfds mnbvcxq wkjhrtp zzxqwpl",
-        "crane slow light up panel late overheats grade box signal turns map engine drifts table water switch layer tool cable times profile loads clock restarts editor whistle mode sheet",
+        "with crane my there slow would a is panel the of late grade has a was box signal our so turns on map the it then engine drifts at table not my water after an about tool layer from the cable we times this and profile to the has loads if when my then of clock the than restarts for a by editor",
+        "table light the so red would on our then file a has keeps map with in the at script my from restarts is again you are as failing with schedule had roster texture a not controller scenario it inspector still after the was doubles of you we",
+        "lantern save crawls profile box lighting table up overheats turns panel late engine grade script switch water drifts clock layer wall tool cable times mode sheet loads restarts whistle editor",
         "noisy depot menu free noisy free depot menu noisy free free noisy depot menu depot menu noisy free noisy free depot menu free noisy depot menu",
         "cheap crane cheap\ncrane cheap cheap\ncheap cheap crane\ncrane cheap cheap\ncheap crane cheap\ncheap cheap crane",
         "free winch old, old winch free, winch free old, free old winch, old winch free, winch free old, free winch old, old winch free",
@@ -112,9 +120,11 @@ EXAMPLES = {
 }
 
 
+@lru_cache(maxsize=1 << 16)
 def _odd(word: str) -> bool:
+    """Whether a word's letter pairs or capitals are those of no language."""
     pairs = [word[i : i + 2].lower() for i in range(len(word) - 1)]
-    return len(word) > 3 and word.isascii() and (sum(p in LETTER_PAIRS for p in pairs) < 0.5 * len(pairs) or (not word.isupper() and sum(c.isupper() for c in word[1:]) > 1))
+    return len(word) > 3 and word.isascii() and (sum(p in LETTER_PAIRS for p in pairs) < 0.65 * len(pairs) or (not word.isupper() and sum(c.isupper() for c in word[1:]) > 1))
 
 
 def _variety(words: list[str]) -> float:
@@ -127,54 +137,61 @@ def _variety(words: list[str]) -> float:
 def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndarray]:
     """The weight (characters without white space) and the statistics of each line that isn't blank.
 
-    A line of many words is taken by itself; what concerns neighbours is a mean over the two lines before and after.
+    What concerns words is of the line and of fifteen words on either side; what concerns lines is half the line's own,
+    half the mean over it and the two lines before and after.
     """
     lines = [x for x in text.splitlines() if x and not x.isspace()]
-    if not lines:
-        return [], np.empty((0, len(FEATURES)))
-    copies = Counter(x.strip() for x in lines)
     n = len(lines)
-    weights, rows = [], np.zeros((n, len(FEATURES)))
-    around = np.zeros((n, 7))
-    cells = [Counter(x if x[0] != " " else "  " for x in _CELLS.findall(line.strip())) for line in lines]
-    words_of = []
-    for i, line in enumerate(lines):
-        stripped = line.strip()
-        size = len(stripped)
-        dense = size - sum(map(str.isspace, stripped))
-        words = [w.lower() for w in _WORD.findall(stripped)]
-        words_of.append(words)
-        japanese = len(_JAPANESE.findall(stripped)) / max(1, dense)
-        tokens = [t for t in stripped.split() if not _JAPANESE.search(t)]
-        urls = sum(len(x) for x in _URL.findall(stripped))
-        weights.append(max(1, dense))
-        rows[i, 0] = np.log1p(min(size, LONG_LINE))
-        rows[i, 1] = len(_SYMBOL.findall(stripped)) / max(1, dense)
-        rows[i, 2] = sum(map(str.isdigit, stripped)) / max(1, dense)
-        rows[i, 3] = 0.4 * (japanese > 0.6)
-        rows[i, 4] = np.log1p(max(map(len, tokens), default=0))
-        rows[i, 5] = sum(len(w) for w in _WORD.findall(stripped) if _odd(w)) / max(1, sum(map(len, words)))
-        rows[i, 6] = min(1.0, 8 * len(_BROKEN.findall(stripped)) / max(1, dense)) if japanese < 0.3 else 0
-        rows[i, 14] = urls / max(1, size)
-        rows[i, 15] = stripped[:1].islower()
-        same = max((c for k, c in cells[i].items() if c >= (2 if k in ",;=" else 1) for j in (i - 1, i + 1) if 0 <= j < n and cells[j].get(k) == c and (k != "," or ", " not in stripped)), default=0)
-        heading = bool(_HEADING.match(line))
-        around[i] = (bool(_BULLET.match(line)), np.log1p(same), bool(_SPEAKER.match(line)) and not _BULLET.match(line) and same < 2, np.log1p(min(len(words) + 0.5 * len(_JAPANESE.findall(stripped)), LONG_LINE / 6)), 0, copies[stripped] > 1 and not heading, bool(_SENTENCE_END.search(line)))
-    means = np.zeros_like(around)
-    for i in range(n):
-        a, b = max(0, i - 2), min(n, i + 3)
-        means[i] = around[a:b].mean(axis=0)
-        near = [*words_of[i]]
-        for step in (1, 2, 3, 4):
-            for j in (i - step, i + step):
-                if 0 <= j < n and len(near) < STRETCH:
-                    near += words_of[j]
-        means[i, 4] = _variety(near)
-        rows[i, 16] = max(sum(w in ARTICLES and v not in common for w, v in zip(near, near[1:], strict=False)) / max(8, len(near)), 0.25 * rows[i, 3] * (rows[i, 3] == 0.4))
-        rows[i, 3] = max(0.4 * sum(w in common for w in words_of[i]) / max(3, len(words_of[i])) + 0.6 * sum(w in common for w in near) / max(8, len(near)), rows[i, 3])
-    for column, source in ((7, 0), (8, 1), (9, 2), (10, 3), (12, 5)):
-        rows[:, column] = 0.5 * around[:, source] + 0.5 * means[:, source]
-    rows[:, 11], rows[:, 13] = means[:, 4], means[:, 6]
+    if not n:
+        return [], np.empty((0, len(FEATURES)))
+    bare = [x.strip() for x in lines]
+    copies = Counter(bare)
+    tokens = [_WORD.findall(x) for x in bare]
+    flat = [w.lower() for words in tokens for w in words]
+    ends = [0, *accumulate(map(len, tokens))]
+    is_common = [w in common for w in flat]
+    commons = [0, *accumulate(is_common)]
+    pairs = [*zip(flat, flat[1:], is_common[1:], strict=False)]
+    placed = [0, *accumulate(a in ARTICLES and not c for a, _, c in pairs)]
+    leads = [0, *accumulate(a in LEADS for a, _, _ in pairs)]
+    misplaced = [0, *accumulate(a in LEADS and (b in MISFITS or (c and a in ARTICLES)) for a, b, c in pairs)]
+    cells = [Counter(x if x[0] != " " else "  " for x in _CELLS.findall(x)) for x in bare]
+    weights: list[int] = []
+    rows, around = np.zeros((n, len(FEATURES))), np.zeros((n, 6))
+    for i, line in enumerate(bare):
+        pieces = line.split()
+        dense = sum(map(len, pieces))
+        plain = line.isascii()
+        kana = 0 if plain else len(_JAPANESE.findall(line))
+        japanese = kana / dense
+        words = tokens[i]
+        weights.append(dense)
+        lo, hi = max(0, ends[i] - NEAR), min(len(flat), ends[i + 1] + NEAR)
+        near = hi - lo
+        row = rows[i]
+        row[0] = min(len(line), LONG_LINE)
+        row[1] = len(_SYMBOL.findall(line)) / dense
+        row[2] = len(_DIGITS.findall(line)) / dense
+        row[3] = max(0.4 * (commons[ends[i + 1]] - commons[ends[i]]) / max(3, len(words)) + 0.6 * (commons[hi] - commons[lo]) / max(8, near), 0.4 * (japanese > 0.6))
+        row[4] = max((len(t) for t in pieces if plain or not _JAPANESE.search(t)), default=0)
+        row[5] = sum(len(w) for w in words if _odd(w)) / max(1, sum(map(len, words)))
+        row[6] = 0 if plain or japanese > 0.3 else min(1.0, 8 * len(_BROKEN.findall(line)) / dense)
+        row[11] = _variety(flat[lo:hi])
+        row[14] = sum(map(len, _URL.findall(line))) / len(line) if "://" in line or "www." in line else 0
+        row[15] = line[0].islower()
+        stop = max(lo, hi - 1)
+        row[16] = max((placed[stop] - placed[lo]) / max(8, near), 0.1 * (japanese > 0.6))
+        row[17] = (misplaced[stop] - misplaced[lo]) / max(5, leads[stop] - leads[lo])
+        same = max((c for k, c in cells[i].items() if c >= (2 if k in ",;=" else 1) for j in (i - 1, i + 1) if 0 <= j < n and cells[j].get(k) == c and (k != "," or ", " not in line)), default=0)
+        bullet = bool(_BULLET.match(line))
+        around[i] = (bullet, same, not bullet and same < 2 and bool(_SPEAKER.match(line)), min(len(words) + 0.5 * kana, LONG_LINE / 6), copies[line] > 1 and not _HEADING.match(line), bool(_SENTENCE_END.search(line)))
+    rows[:, (0, 4)] = np.log1p(rows[:, (0, 4)])
+    around[:, (1, 3)] = np.log1p(around[:, (1, 3)])
+    total = np.concatenate([np.zeros((1, 6)), around.cumsum(axis=0)])
+    first, last = np.maximum(np.arange(n) - 2, 0), np.minimum(np.arange(n) + 3, n)
+    means = (total[last] - total[first]) / (last - first)[:, None]
+    rows[:, (7, 8, 9, 10, 12)] = 0.5 * around[:, :5] + 0.5 * means[:, :5]
+    rows[:, 13] = means[:, 5]
     return weights, rows
 
 
