@@ -27,8 +27,10 @@ from ..session import materialize
 from ..sources.tables import columns
 
 KINDS = ("prose", "list", "table", "junk")
-#: Steps of expectation-maximisation at most, least gain in mean log-likelihood, least variance of a standardised statistic, pull of the examples (in lines an example counts for).
-STEPS, GAIN, LEAST_VARIANCE, PRIOR = 12, 1e-3, 0.05, 50.0
+#: Steps of expectation-maximisation at most, least gain in mean log-likelihood, least variance of a standardised statistic.
+STEPS, GAIN, LEAST_VARIANCE = 12, 1e-3, 0.05
+#: Pull of an example: the share of all lines that it counts for, and the least number of lines. A share, so that the mixture is the same at every size.
+PRIOR_SHARE, PRIOR_LEAST = 5e-4, 50.0
 #: Most common words that are sent to the workers.
 MOST_WORDS = 100_000
 #: Characters from which on a line is just a long one, words in a stretch, words of its neighbours that a line is seen with.
@@ -259,8 +261,8 @@ def _stacked(batch: pd.DataFrame) -> np.ndarray:
     return np.concatenate(batch["x"].to_numpy()).astype(float).reshape(-1, len(FEATURES))
 
 
-def _moments(rows: DataFrame, known: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of each statistic over all lines, and over the examples as so many lines more."""
+def _moments(rows: DataFrame, known: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic over all lines and, by their pull, over the examples."""
     d = len(FEATURES)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,6 +273,7 @@ def _moments(rows: DataFrame, known: np.ndarray, weight: float) -> tuple[np.ndar
 
     found = rows.select("x").mapInPandas(sums, "j int, n long, s double, q double").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).toPandas().sort_values("j")
     n, s, q = (found[c].to_numpy(dtype=float) if len(found) else np.zeros(d) for c in ("n", "s", "q"))
+    weight = examples * np.maximum(PRIOR_LEAST, PRIOR_SHARE * n)
     mean = (s + weight * known.mean(0)) / (n + weight)
     return mean, np.sqrt(np.maximum((q + weight * (known**2).mean(0)) / (n + weight) - mean**2, 0))
 
@@ -279,7 +282,7 @@ def fit(rows: DataFrame, common: frozenset[str]) -> Mixture:
     """The mixture of all lines, from the examples by expectation-maximisation; sums of len(KINDS)-independent size reach the driver."""
     d = len(FEATURES)
     known, kinds, groups = example_rows(common)
-    mean, deviation = _moments(rows, known, PRIOR * (groups.max() + 1))
+    mean, deviation = _moments(rows, known, groups.max() + 1)
     deviation = np.maximum(deviation, 0.02)
     z = (known - mean) / deviation
     k = groups.max() + 1
@@ -303,8 +306,9 @@ def fit(rows: DataFrame, common: frozenset[str]) -> Mixture:
         if not len(sums) or not sums["rows"].iloc[0]:
             break
         n, s, q = sums["n"].to_numpy().reshape(k, d)[:, :1], sums["s"].to_numpy().reshape(k, d), sums["q"].to_numpy().reshape(k, d)
-        centre = (s + PRIOR * prior_centre) / (n + PRIOR)
-        variance = (q - 2 * centre * s + n * centre**2 + PRIOR * (prior_variance + (prior_centre - centre) ** 2)) / (n + PRIOR)
+        pull = max(PRIOR_LEAST, PRIOR_SHARE * sums["rows"].iloc[0])
+        centre = (s + pull * prior_centre) / (n + pull)
+        variance = (q - 2 * centre * s + n * centre**2 + pull * (prior_variance + (prior_centre - centre) ** 2)) / (n + pull)
         model = Mixture(mean, deviation, (n[:, 0] + 1) / (n.sum() + k), centre, np.maximum(variance, LEAST_VARIANCE))
         like = sums["like"].iloc[0] / sums["rows"].iloc[0]
         if like - before < GAIN:
