@@ -2,7 +2,7 @@
 
 An item is a sequence of units: the characters of a text, the entries of a list, or the bytes of a file. It is read as
 ranges of a fixed size. Workers find the boundaries of each range by itself (with a halo of what stands just before it);
-the boundary tables, a few numbers a range, are stitched by window functions over the ranges of an item; the last boundary
+the boundary tables, a few numbers a range, are stitched by running values over the ranges of an item, span by span; the last boundary
 of each range is an anchor at which a piece ends, so that every range then emits its own pieces by offset. No task ever
 holds a whole item, and no table has a row for each boundary.
 
@@ -17,9 +17,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.tables import columns, latest
 
 #: Units in a range. A boundary table keeps the first and last boundary of each block of a sixteenth of a piece.
@@ -28,7 +29,9 @@ RANGE_CHARS, RANGE_ENTRIES, RANGE_BYTES, BLOCKS = 1 << 16, 1 << 12, 8 << 20, 16
 _BREAKS = re.compile(r"[\s。！？]")
 _BYTE_BREAKS = re.compile(rb"[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80[\x80\x82]|\xef\xbc[\x81\x9f]")
 _PART = re.compile(r"(.*)-p([1-9][0-9]*)", re.S)
-_FOUND = "item_key string, n long, range_no long, range_start long, first_stop long, last_go long, inner_gap long, cuts array<long>"
+_FOUND = "item_key string, n long, range_no long, range_start long, is_last boolean, first_stop long, last_go long, inner_gap long, cuts array<long>"
+#: Ranges that a running value is carried over at once; what precedes them comes from a table with a row for each so many.
+SPAN = 4096
 
 
 def text_breaks(body: str, halo: str) -> list[tuple[int, int]]:
@@ -75,11 +78,11 @@ def _scan(ranges: DataFrame, find: Callable, width: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.item_key, r.n, r.range_no, r.range_start, *_summary(find(r.body, r.halo), r.range_start, width)) for r in batch.itertuples(index=False)]
-            out = pd.DataFrame(rows, columns=["item_key", "n", "range_no", "range_start", "first_stop", "last_go", "inner_gap", "cuts"])
+            rows = [(r.item_key, r.n, r.range_no, r.range_start, r.range_start + len(r.body) >= r.n, *_summary(find(r.body, r.halo), r.range_start, width)) for r in batch.itertuples(index=False)]
+            out = pd.DataFrame(rows, columns=["item_key", "n", "range_no", "range_start", "is_last", "first_stop", "last_go", "inner_gap", "cuts"])
             yield out.astype({"first_stop": "Int64", "last_go": "Int64"})
 
-    return ranges.mapInPandas(scan, _FOUND)
+    return materialize(ranges.mapInPandas(scan, _FOUND), "boundaries")
 
 
 def text_ranges(items: DataFrame, limit: int, size: int = RANGE_CHARS) -> DataFrame:
@@ -123,23 +126,34 @@ def scan_files(ranges: DataFrame, size: int, width: int) -> DataFrame:
             for r in batch.itertuples(index=False):
                 head = min(3, r.range_start)
                 data = read_bytes(r.item_key, r.range_start - head, min(size, r.n - r.range_start) + head)
-                rows.append((r.item_key, r.n, r.range_no, r.range_start, *_summary(byte_breaks(data[head:], data[:head]), r.range_start, width)))
-            out = pd.DataFrame(rows, columns=["item_key", "n", "range_no", "range_start", "first_stop", "last_go", "inner_gap", "cuts"])
+                rows.append((r.item_key, r.n, r.range_no, r.range_start, r.range_start + size >= r.n, *_summary(byte_breaks(data[head:], data[:head]), r.range_start, width)))
+            out = pd.DataFrame(rows, columns=["item_key", "n", "range_no", "range_start", "is_last", "first_stop", "last_go", "inner_gap", "cuts"])
             yield out.astype({"first_stop": "Int64", "last_go": "Int64"})
 
-    return ranges.mapInPandas(scan, _FOUND)
+    return materialize(ranges.mapInPandas(scan, _FOUND), "boundaries")
+
+
+def _before(ranges: DataFrame, value: Column, how: Callable[[Column], Column], join: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """ranges (item_key, range_no, ...) with a running aggregate of what precedes each range in its item, null before the first.
+
+    It runs over SPAN ranges at once, and over spans by their aggregates, so that no task sorts all ranges of an item.
+    """
+    rows = ranges.withColumns({"_v": value, "_span": (F.col("range_no") / SPAN).cast("long")})
+    item, ahead = Window.partitionBy("item_key").orderBy("_span"), Window.partitionBy("item_key", "_span").orderBy("range_no")
+    spans = rows.groupBy("item_key", "_span").agg(how(F.col("_v")).alias("_t"))
+    carried = spans.select("item_key", "_span", how(F.col("_t")).over(item.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inner = rows.withColumn("_inner", how(F.col("_v")).over(ahead.rowsBetween(Window.unboundedPreceding, -1)))
+    both = inner.join(carried, ["item_key", "_span"])
+    return both.withColumn(name, F.coalesce(join(F.col("_inner"), F.col("_carry")), "_inner", "_carry")).drop("_v", "_span", "_inner", "_carry")
 
 
 def stitch(found: DataFrame) -> DataFrame:
     """Boundary tables with, for each range, where the part it emits begins (from_cut) and ends (to_cut), and the stretch that ends in it.
 
-    Only a few numbers a range pass through the window; the tables of cuts travel along, at most two a block.
+    Only a few numbers a range pass through the running maximum; the tables of cuts are attached where they are needed.
     """
-    before = Window.partitionBy("item_key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lead("range_no").over(Window.partitionBy("item_key").orderBy("range_no")).isNull()
-    go = F.coalesce(F.max("last_go").over(before), F.lit(0).cast("long"))
-    stitched = found.withColumns({"from_cut": go, "is_last": last})
-    return stitched.withColumns(
+    slim = _before(found.drop("cuts"), F.col("last_go"), F.max, F.greatest, "from_cut").withColumn("from_cut", F.coalesce("from_cut", F.lit(0).cast("long")))
+    return slim.withColumns(
         {
             "to_cut": F.when(F.col("is_last"), F.col("n")).otherwise(F.col("last_go")),
             "stretch": F.greatest("inner_gap", F.col("first_stop") - F.col("from_cut"), F.when(F.col("is_last"), F.col("n") - F.coalesce("last_go", "from_cut"))),
@@ -169,7 +183,7 @@ def _emit(start: int, end: int, cuts: list[int], limit: int, overlap: int) -> li
     return pieces
 
 
-def piece_places(stitched: DataFrame, limit: int, overlap: int) -> DataFrame:
+def piece_places(found: DataFrame, limit: int, overlap: int) -> DataFrame:
     """item_key, piece_no, start_at, end_at, natural_end. Pieces are numbered by prefix sums of their counts over the ranges."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -178,10 +192,11 @@ def piece_places(stitched: DataFrame, limit: int, overlap: int) -> DataFrame:
     def emit(start: pd.Series, end: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([[{"start_at": a, "end_at": b, "natural_end": c} for a, b, c in _emit(int(s), int(e), list(k), limit, overlap)] for s, e, k in zip(start, end, cuts, strict=True)])
 
-    parts = stitched.where("to_cut > from_cut").select("item_key", "range_no", emit("from_cut", "to_cut", "cuts").alias("pieces"))
-    before = Window.partitionBy("item_key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    counted = parts.withColumn("first_no", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)))
-    rows = counted.select("item_key", "first_no", F.posexplode("pieces").alias("i", "p"))
+    parts = stitch(found).where("to_cut > from_cut").join(found.select("item_key", "range_no", "cuts"), ["item_key", "range_no"])
+    parts = materialize(parts.select("item_key", "range_no", emit("from_cut", "to_cut", "cuts").alias("pieces")), "pieces")
+    counts = _before(parts.select("item_key", "range_no", F.size("pieces").cast("long").alias("k")), F.col("k"), F.sum, lambda a, b: a + b, "first_no")
+    counted = counts.join(parts, ["item_key", "range_no"])
+    rows = counted.select("item_key", F.coalesce("first_no", F.lit(0)).alias("first_no"), F.posexplode("pieces").alias("i", "p"))
     return rows.select("item_key", (F.col("first_no") + F.col("i")).alias("piece_no"), "p.start_at", "p.end_at", "p.natural_end")
 
 
@@ -198,20 +213,20 @@ def _assembled(ranges: DataFrame, places: DataFrame, size: int, cut: Callable, j
 def split_texts(items: DataFrame, limit: int = 2000, overlap: int = 200, size: int = RANGE_CHARS) -> DataFrame:
     """Pieces of the texts (item_key, body) over the limit: item_key, piece_no, start_at, end_at, natural_end, body."""
     ranges = text_ranges(items, limit, size)
-    places = piece_places(stitch(_scan(ranges, text_breaks, max(1, limit // BLOCKS))), limit, overlap)
+    places = piece_places(_scan(ranges, text_breaks, max(1, limit // BLOCKS)), limit, overlap)
     return _assembled(ranges, places, size, lambda b, at, n: F.substr(b, (at + 1).cast("int"), n.cast("int")), lambda parts: F.array_join(parts, ""))
 
 
 def split_lists(items: DataFrame, limit: int = 12, overlap: int = 1, size: int = RANGE_ENTRIES) -> DataFrame:
     """Pieces of the lists (item_key, body) over the limit, with the entries of each as body."""
     ranges = list_ranges(items, limit, size)
-    places = piece_places(stitch(_scan(ranges, list_breaks, 1)), limit, overlap)
+    places = piece_places(_scan(ranges, list_breaks, 1), limit, overlap)
     return _assembled(ranges, places, size, lambda b, at, n: F.slice(b, (at + 1).cast("int"), F.least(n, F.lit(size)).cast("int")), F.flatten)
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, size: int = RANGE_BYTES) -> DataFrame:
     """Places of the pieces of giant UTF-8 files, in bytes: item_key, piece_no, start_at, end_at, natural_end; read_bytes gives a piece."""
-    return piece_places(stitch(scan_files(file_ranges(spark, paths, limit, size), size, max(1, limit // BLOCKS))), limit, overlap)
+    return piece_places(scan_files(file_ranges(spark, paths, limit, size), size, max(1, limit // BLOCKS)), limit, overlap)
 
 
 def posts_items(posts: DataFrame) -> DataFrame:
