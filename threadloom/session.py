@@ -58,8 +58,16 @@ def _shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{_shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, below one of the application, which is removed when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{_shared_dir(spark)}/threadloom/{sc.applicationId}"
+    if getattr(sc, "_threadloom_folder", None) != folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._threadloom_folder = folder
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
