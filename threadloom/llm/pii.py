@@ -33,7 +33,7 @@ from ..sources.tables import columns, latest
 KINDS = ("email", "phone", "identity", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 VOTES = 7
-#: Candidates of each kind that the classifier is fitted on at most (the least by hash), size of its feature space.
+#: Candidates of each kind that the classifier is fitted on at most (of a share by hash, which is all where there are fewer), size of its feature space.
 FITTED, SPACE = 20_000, 1 << 12
 #: Most given names that are sent to the workers.
 MOST_NAMES = 200_000
@@ -510,7 +510,8 @@ def spans(posts: DataFrame, given_names: DataFrame) -> DataFrame:
     shares = patterns.groupby("kind")["n"].sum()
     chosen = None
     for kind in sorted(shares.index):
-        part = sample.where(F.col("kind") == kind).orderBy("r").limit(FITTED)
+        share = min(1.0, 1.1 * FITTED / shares[kind])  # so that no task sends more than it must
+        part = sample.where((F.col("kind") == kind) & (F.pmod("r", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).orderBy("r").limit(FITTED)
         chosen = part if chosen is None else chosen.unionByName(part)
     model = fit(chosen.drop("r").toPandas() if chosen is not None else pd.DataFrame({"kind": [], "votes": [], "features": []}), likely)
 
