@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text as X
+from ..operators import cluster
+from ..operators import graph as G
 from ..operators import retrieve as V
-from ..session import ship
+from ..session import materialize, ship
 from ..sources.tables import table
 from .forum import over
 from .graph import Graph
@@ -45,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_signature": _graph(lambda g: g.edges.agg(F.sum(F.crc32(F.concat_ws("\x1f", "a", "b").cast("binary"))).alias("signature"), F.count("*").alias("edges"))),
     "naive_topk": _on("embeddings", _nearest),
     "kmeans_buckets": _on("embeddings", lambda t: V.k_means(t, "vec_id", "embedding", 10)),
+    "keyword_buckets": _graph(lambda g: cluster.keyword_buckets(g.edges, materialize(G.keyword_counts(g.edges), "keywords"))),
     "local_context": _graph(lambda g: V.local_context(g.nodes, g.edges, g.relations, QUESTION)),
     "global_context": _graph(lambda g: V.global_context(g.nodes, g.edges, g.relations, QUESTION)),
     "mix_context": _graph(lambda g: V.mix_context(g.nodes, g.edges, g.relations, QUESTION)),
