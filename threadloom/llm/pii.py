@@ -122,7 +122,7 @@ _NO_FAMILY = frozenset("the this that a an mr mrs ms dr prof herr frau sr sra mm
 _NAME_TITLES = frozenset("mr mrs ms dr prof herr frau sr sra mme mlle".split())
 _SENTENCE = re.compile(r"(?<!\bno)(?<!\b[A-Z][a-z])(?<!\bMrs)[.!?。！？]\s")
 _NEAR = re.compile(r"[A-Za-zÀ-ɏ]+|[぀-ヿ一-鿿]{2,}")
-_USER_ATTRIBUTES = frozenset("data-username class data-post id style src alt width height".split())
+_USER_ATTRIBUTES = frozenset("data-username class data-post width height".split())
 
 
 @dataclass(slots=True)
@@ -359,8 +359,8 @@ def decode(raw: str) -> list[Decoded]:
             body.add("\n", start, end - start)
         if "=" in token:
             for a in _ATTRIBUTE.finditer(token):
-                if a[1].lower() not in _USER_ATTRIBUTES:
-                    g = 2 if a[2] is not None else 3
+                g = 2 if a[2] is not None else 3
+                if len(a[g]) > 5 and a[1].lower() not in _USER_ATTRIBUTES:  # the shortest span has six characters
                     rest.append(_value(a[g], start + a.start(g)))
     body.add(raw[done:], done, len(raw) - done)
     return [body, *rest]
