@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import materialize
+from ..session import materialize, numbered
 from .kg import PIN_KEYWORDS, PINS, STRUCTURAL
 
 # Super-categories by entity type; every other type is Other.
@@ -57,18 +57,9 @@ def hubs(nodes: DataFrame, edges: DataFrame, n: int = 15, structural: bool = Tru
 
 
 def rank_bands(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, degree, rank and whether it is among the first hundredth, twentieth or tenth.
-
-    Ranks are counted by degree, of which there are few: nodes of greater degree by a sum over the histogram, equal ones
-    by name within their degree.
-    """
-    d = degrees(nodes, edges)
-    counts = d.groupBy("degree").agg(F.count("*").alias("n"))
-    above = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = counts.select("degree", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"), F.sum("n").over(every).alias("total"))
-    ranked = d.join(starts, "degree").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("degree").orderBy("name")))
-    share = F.col("rank") / F.col("total")
+    """name, degree, rank and whether it is among the first hundredth, twentieth or tenth."""
+    ranked = numbered(degrees(nodes, edges), F.desc("degree"), F.asc("name"), name="rank")
+    share = F.col("rank") / F.lit(ranked.count())
     return ranked.select("name", "degree", "rank", F.when(share <= 0.01, "top 1%").when(share <= 0.05, "top 5%").when(share <= 0.1, "top 10%").otherwise("").alias("band"))
 
 
@@ -434,7 +425,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
             break
     every = nodes.select("name").distinct().join(member, "name", "left").select("name", F.coalesce("community", "name").alias("community"))
     sizes = every.groupBy("community").agg(F.count("*").alias("size"))
-    place = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "community")))
+    place = numbered(sizes, F.desc("size"), F.asc("community"))
     return every.join(place, "community").select("name", F.col("number").alias("community"), "size")
 
 

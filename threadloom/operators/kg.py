@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.tags import stripped, tag_display
+from ..session import numbered
 from .views import Corpus
 
 # The three structural relations, their weights and keywords.
@@ -211,8 +212,10 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deduplicated_titles(topics: DataFrame) -> DataFrame:
     """id, title: the nth topic of a title has ` (n)` after it."""
-    n = F.row_number().over(Window.partitionBy("title").orderBy("id"))
-    return topics.where("title IS NOT NULL").select("id", F.when(n > 1, F.concat("title", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
+    ranked = numbered(topics.where("title IS NOT NULL").select("id", "title"), F.asc("title"), F.asc("id"), name="place")
+    first = ranked.groupBy("title").agg(F.min("place").alias("first"))
+    n = F.col("place") - F.col("first") + 1
+    return ranked.join(first, "title").select("id", F.when(n > 1, F.concat("title", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
 
 
 def reply_clock(posts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Every top-k report orders ties by a unique key and takes its limit as a paramete
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .views import Corpus
@@ -61,10 +61,10 @@ def response_time_by_category(c: Corpus) -> DataFrame:
 def top_responder_share(c: Corpus) -> DataFrame:
     """Of each category who answers most, and whether that is three tenths of all answers or more."""
     answers = c.posts.where("post_number > 1 AND username <> 'system'").groupBy("category", "username").agg(F.count("*").alias("replies"))
-    place = Window.partitionBy("category")
-    ranked = answers.withColumns({"total": F.sum("replies").over(place), "rn": F.row_number().over(place.orderBy(F.desc("replies"), "username"))})
+    best = F.min(F.struct((-F.col("replies")).alias("minus"), "username")).alias("b")
+    ranked = answers.groupBy("category").agg(F.sum("replies").alias("total"), best).select("category", "b.username", (-F.col("b.minus")).alias("replies"), "total")
     share = F.col("replies") * 100.0 / F.col("total")
-    return ranked.where("rn = 1").select("category", "username", "replies", "total", half_up(share).alias("share"), (share >= 30).alias("dominant"))
+    return ranked.select("category", "username", "replies", "total", half_up(share).alias("share"), (share >= 30).alias("dominant"))
 
 
 def topic_velocity(c: Corpus) -> DataFrame:

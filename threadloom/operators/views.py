@@ -98,18 +98,17 @@ class Corpus:
     def topic_threads(self) -> DataFrame:
         """Who answered a topic first and last; answers are by others than its creator and the system.
 
-        One window finds the creator, one aggregate the answers. The first answer has the least post number, the last the
+        One aggregate finds the creators, another the answers. The first answer has the least post number, the last the
         greatest time; a topic without a first post has no answers, one without answers nulls.
         """
         p = self.posts.select("topic_id", "post_id", "post_number", "username", "created_at")
-        op = F.max(F.when(F.col("post_number") == 1, F.col("username"))).over(Window.partitionBy("topic_id"))
-        answers = p.withColumn("op", op).where("post_number > 1 AND username <> 'system' AND username <> op")
+        creators = p.where("post_number = 1").groupBy("topic_id").agg(F.max("username").alias("creator"))
+        answers = p.where("post_number > 1 AND username <> 'system'").join(creators, "topic_id").where("username <> creator")
         found = answers.groupBy("topic_id").agg(
             F.min(F.struct("post_number", "post_id", "username", "created_at")).alias("first"),
             F.max(F.struct("created_at", "post_number", "post_id", "username")).alias("last"),
             F.count_distinct("username").alias("unique_responders"),
         )
-        creators = p.where("post_number = 1").groupBy("topic_id").agg(F.max("username").alias("creator"))
         t = self.topics.select(F.col("id").alias("topic_id"), "title", "category", F.col("created_at").alias("topic_at"), "views", "posts_count")
         return t.join(creators, "topic_id", "left").join(found, "topic_id", "left").select(
             "topic_id", "title", "category", F.col("topic_at").alias("created_at"), "views", "posts_count", "creator", F.col("first.username").alias("first_responder"), F.col("first.created_at").alias("first_response_at"),

@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings every plan of this library is written for.
 DEFAULTS = {
@@ -70,6 +71,18 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """df with the place of each row, from 1, in a total order. No task sees more than a range of the rows.
+
+    Rows are parted into ranges, sorted and counted within them; a running sum of the counts, a row a range, does the rest.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(ranges.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")), "numbered")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))
+    return rows.join(starts, "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back: later jobs neither recompute it nor depend on any executor."""
     spark = df.sparkSession
