@@ -107,3 +107,12 @@ def test_weights_favour_agreement():
     rows = [((1, 1, 0, 0, 0, 0, 0), 60), ((1, 0, 0, 0, 0, 0, 0), 30), ((0, 0, -1, 0, -1, 0, -1), 50), ((0, 0, 0, 0, -1, 0, -1), 20)]
     p = P.weigh(pd.DataFrame([("phone", list(v), n) for v, n in rows], columns=["kind", "votes", "n"]))
     assert p["phone", rows[0][0]] > 0.95 and p["phone", rows[1][0]] > 0.8 and p["phone", rows[2][0]] < 0.05 and p["phone", rows[3][0]] < 0.2
+
+
+def test_weights_are_alike_at_every_size():
+    import pandas as pd
+
+    rows = [((1, 1, 0, 0, 0, 0, 0), 298), ((1, 1, 0, 1, 0, 0, 0), 128), ((1, 0, -1, 1, 0, 0, 0), 86), ((1, 0, 0, 1, 0, 0, 0), 48), ((1, 0, 0, 0, 0, 0, 0), 41), ((1, 0, 0, 1, -1, 0, 0), 24), ((0, 0, 0, 0, 0, 0, 0), 10), ((0, 0, -1, 1, 0, 0, 0), 4)]
+    for times in (1, 10, 1000):
+        p = P.weigh(pd.DataFrame([("identity", list(v), n * times) for v, n in rows], columns=["kind", "votes", "n"]))
+        assert min(p.values()) > 0.5, times

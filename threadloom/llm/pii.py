@@ -440,9 +440,11 @@ def weigh(patterns: pd.DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
         n = group["n"].to_numpy(dtype=float)
         total = n.sum()
         onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-        prior = np.array([[2.0, 10.0, 8.0], [8.0, 10.0, 2.0]]) * min(5.0, max(0.5, total / 200))  # true, false
+        prior = np.array([[2.0, 10.0, 8.0], [8.0, 10.0, 2.0]]) * max(0.5, total / 200)  # true, false; as a share of the spans, so that it is as strong at every size
         prior = np.repeat(prior[:, None, :], VOTES, axis=1)
-        prior[0, -1, 0], prior[1, -1, 2] = prior[0, -1, 0] / 20, prior[1, -1, 2] / 20  # the corpus knows its surnames
+        for labeler in (0, VOTES - 1):  # a strict form is rarely a coincidence, and the corpus knows its surnames
+            prior[1, labeler, 2] /= 20
+        prior[0, -1, 0] /= 20
         q = 1 / (1 + np.exp(-1.5 * votes.sum(1) - 3 * votes[:, -1] - 0.2))
         for _ in range(EM_STEPS):
             share = ((n * q).sum() + 2) / (total + 4)
