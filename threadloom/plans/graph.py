@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import explore as X
 from ..operators import graph as G
 from ..operators import incremental as I
 from ..operators import kg as K
@@ -103,6 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_stats": _of(lambda g: G.category_stats(g.nodes, g.edges)),
     "pair_stats": _of(lambda g: G.pair_stats(g.nodes, g.edges, "Structure", "Discussion")),
     "cluster_stats": _of(lambda g: G.cluster_stats(g.nodes.select("name", F.col("entity_type").alias("community")), g.edges)),
+    "node_table": _of(lambda g: X.node_table(g.nodes, g.edges, "yard")),
+    "connections": _of(lambda g: X.connections(g.nodes, g.edges, SEED)),
+    "edges_within": _of(lambda g: X.within(G.edge_times(g.relations, g.topics), 40, 60)),
+    "search_context": _of(lambda g: X.search_context(g.nodes, g.edges, "shader", ("tag", "topic"))),
+    "topic_index": _of(lambda g: X.topic_index(g.c)),
+    "first_mentions": _of(lambda g: X.first_mentions(g.edges, "a", "keywords", ",|<SEP>")),
+    "chunk_names": _of(lambda g: X.chunk_names(K.token_chunks(K.topic_documents(g.c), "topic_id", "document", 1200, 100)).select("topic_id", "chunk_no", "source_id")),
+    "path_highlight": _of(lambda g: X.highlighted(_paths(g))),
     "neighbour_types": _of(lambda g: G.neighbour_types(g.nodes, g.edges, SEED)),
     "provenance_rank": _of(lambda g: G.provenance(g.entities, g.relations, SEED)),
     "k_hop": _of(lambda g: G.levels(g.fixed().edges, SEED, 2)),
@@ -211,6 +220,12 @@ SQL: dict[str, str] = {
     "category_stats": on(f"SELECT m.super_category, members, COALESCE(i, 0) AS inner_edges, COALESCE(o, 0) AS bridges FROM (SELECT {_SUPER('entity_type')} AS super_category, count(*) AS members FROM nd GROUP BY 1) m LEFT JOIN (SELECT u, count(*) AS i FROM (SELECT {_SUPER('type_a')} AS u, {_SUPER('type_b')} AS v FROM te) WHERE u = v GROUP BY 1) ON u = m.super_category LEFT JOIN (SELECT s, count(*) AS o FROM (SELECT unnest([{_SUPER('type_a')}, {_SUPER('type_b')}]) AS s FROM te WHERE {_SUPER('type_a')} <> {_SUPER('type_b')}) GROUP BY 1) ON s = m.super_category"),
     "pair_stats": on(f"SELECT a, b, weight, (SELECT count(*) FROM pr) AS edges, (SELECT CAST(sum(CAST(trunc(weight * 10) AS BIGINT)) AS BIGINT) / 10.0::DOUBLE FROM pr) AS total FROM pr ORDER BY weight DESC, a, b LIMIT 10", f"pr AS (SELECT a, b, weight FROM te WHERE least({_SUPER('type_a')}, {_SUPER('type_b')}) = 'Discussion' AND greatest({_SUPER('type_a')}, {_SUPER('type_b')}) = 'Structure')"),
     "cluster_stats": on("SELECT m.community, size, COALESCE(i, 0) AS inner_edges, COALESCE(o, 0) AS bridges FROM (SELECT entity_type AS community, count(*) AS size FROM nd GROUP BY 1) m LEFT JOIN (SELECT type_a AS c, count(*) AS i FROM te WHERE type_a = type_b GROUP BY 1) i ON i.c = m.community LEFT JOIN (SELECT c, count(*) AS o FROM (SELECT unnest([type_a, type_b]) AS c FROM te WHERE type_a <> type_b) GROUP BY 1) o ON o.c = m.community"),
+    "node_table": on("SELECT name, dg.entity_type, degree, CASE WHEN length(description) > 240 THEN left(description, 240) || '...' ELSE description END AS description FROM dg JOIN nd USING (name) WHERE contains(lower(name), 'yard') OR contains(lower(dg.entity_type), 'yard') OR contains(lower(COALESCE(description, '')), 'yard') ORDER BY degree DESC, name LIMIT 500"),
+    "connections": on(f"SELECT name, phrase, weight, entity_type FROM (SELECT CASE WHEN a = '{SEED}' THEN b ELSE a END AS name, trim(string_split(replace(keywords, '<SEP>', ','), ',')[1]) AS phrase, weight FROM ed WHERE a = '{SEED}' OR b = '{SEED}') JOIN nd USING (name) ORDER BY weight DESC, name LIMIT 500"),
+    "edges_within": on(f"SELECT * FROM (SELECT least(src, tgt) AS a, greatest(src, tgt) AS b, CAST(min({_MONTH}) AS INTEGER) AS first, CAST(max({_MONTH}) AS INTEGER) AS last FROM rel JOIN tn ON tid = source_id WHERE src <> tgt AND created_at IS NOT NULL GROUP BY 1, 2) WHERE last >= 40 AND first <= 60"),
+    "search_context": on("SELECT name, 'match' AS role FROM sm UNION ALL SELECT DISTINCT y, 'context' FROM adj JOIN sm ON x = sm.name JOIN nd ON nd.name = y WHERE entity_type IN ('tag', 'topic') AND y NOT IN (SELECT name FROM sm)", "sm AS (SELECT name FROM nd WHERE entity_type IN ('tag', 'topic') AND contains(lower(name), 'shader'))"),
+    "topic_index": on("SELECT tn.topic_id, name AS title, COALESCE(tn.created_at, f.created_at) AS created_at, CASE WHEN length(x) > 240 THEN left(x, 240) || '...' ELSE x END AS excerpt, COALESCE(n, 0) AS posts FROM tn LEFT JOIN (SELECT topic_id, created_at, CASE WHEN length(plain_text) > 4000 THEN left(plain_text, 4000) || '...' ELSE plain_text END AS x, row_number() OVER (PARTITION BY topic_id ORDER BY post_number, post_id) AS rn, count(*) OVER (PARTITION BY topic_id) AS n FROM vp WHERE trim(plain_text) <> '') f ON f.topic_id = tn.topic_id AND rn = 1"),
+    "first_mentions": on("SELECT a, value, min(place) AS place FROM (SELECT a, trim(v) AS value, CAST(i - 1 AS INTEGER) AS place FROM (SELECT a, unnest(string_split_regex(keywords, ',|<SEP>')) AS v, unnest(range(1, len(string_split_regex(keywords, ',|<SEP>')) + 1)) AS i FROM ed)) WHERE value <> '' GROUP BY 1, 2"),
     "neighbour_types": on(f"SELECT entity_type, count(*) AS n FROM adj JOIN nd ON nd.name = y WHERE x = '{SEED}' GROUP BY 1"),
     "provenance_rank": on(f"SELECT source_id, count(*) AS mentions FROM (SELECT source_id FROM ent WHERE entity_name = '{SEED}' UNION ALL SELECT source_id FROM rel WHERE src = '{SEED}' OR tgt = '{SEED}') GROUP BY 1 ORDER BY mentions DESC, source_id LIMIT 10"),
     "k_hop": on("SELECT * FROM l2", _levels(2)),
