@@ -98,6 +98,13 @@ def test_files(spark, tmp_path):
     assert P.read_bytes(f"file://{path}", 10, 20) == data[10:30]
 
 
+def test_characters_of_two_widths(spark):
+    text = "a😀 " * 60_000
+    df = spark.createDataFrame([("a", text)], "item_key string, body string")
+    rows = sorted(P.split_texts(df).collect(), key=lambda r: r.piece_no)
+    assert rows[-1].end_at == len(text) and all(r.body == text[r.start_at : r.end_at] for r in rows)
+
+
 def test_long_text_without_boundary(spark):
     df = spark.createDataFrame([("a", "x" * 300_000 + " end")], "item_key string, body string")
     rows = P.split_texts(df).collect()

@@ -59,6 +59,12 @@ def test_markup_places():
     assert got == {("email", "joe@x.example"), ("email", "a&#64;b&#46;example"), ("name", "Anna&nbsp;Velby"), ("phone", "+44 1632 960136")}
 
 
+def test_broken_markup_is_read_in_time():
+    raw = '<a href="x' * 20_000 + " tel +44 1632 960136"
+    assert [s.kind for s in P.scan_html(raw, GIVEN)] == ["phone"]
+    assert [s.kind for s in P.scan_html("I <3 it & tel +44 1632 960136 < that's", GIVEN)] == ["phone"]
+
+
 def make(spark, rows, schema=POSTS):
     return spark.createDataFrame(rows, schema), spark.createDataFrame([(g.capitalize(),) for g in sorted(GIVEN)] + [(None,)], "given_name string")
 

@@ -86,8 +86,11 @@ def _scan(ranges: DataFrame, find: Callable, width: int) -> DataFrame:
 
 
 def text_ranges(items: DataFrame, limit: int, size: int = RANGE_CHARS) -> DataFrame:
-    """Ranges of the texts (item_key, body) over the limit, each text read once from front to back."""
-    parts = items.where(F.length("body") > limit).select("item_key", F.length("body").cast("long").alias("n"), F.posexplode(F.regexp_extract_all("body", F.lit("(?s).{1,%d}" % size), F.lit(0))).alias("range_no", "body"))
+    """Ranges of the texts (item_key, body) over the limit, each text read once from front to back.
+
+    The quantifier is possessive: a greedy one recurses wherever characters of one and of two code units meet.
+    """
+    parts = items.where(F.length("body") > limit).select("item_key", F.length("body").cast("long").alias("n"), F.posexplode(F.regexp_extract_all("body", F.lit("(?s).{1,%d}+" % size), F.lit(0))).alias("range_no", "body"))
     return parts.select("item_key", "n", F.col("range_no").cast("long").alias("range_no"), (F.col("range_no") * F.lit(size).cast("long")).alias("range_start"), "body", F.lit("").alias("halo"))
 
 

@@ -297,7 +297,7 @@ def _sentence(before: list[str]) -> bool:
 
 # ---- HTML ------------------------------------------------------------------------------------------------------------
 
-_MARKUP = re.compile(r"<(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_MARKUP = re.compile(r"<(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 _REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _INLINE = frozenset("a abbr b bdi cite code em i mark q s small span strong sub sup u wbr font del ins".split())
