@@ -219,14 +219,21 @@ def _number_at(text: str, at: int) -> tuple[str, bool, int, int] | None:
     return None
 
 
+def _touch(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of some spans, in order and apart from each other, has a character from start to end."""
+    i = bisect.bisect_left(spans, (end,)) - 1
+    return i >= 0 and spans[i][1] > start
+
+
 def scan(text: str, given: frozenset[str]) -> list[Span]:
     """Every candidate of a text, in order of kind."""
     found: list[Span] = []
-    taken: list[tuple[int, int]] = []
+    mails: list[tuple[int, int]] = []
+    numbers: list[tuple[int, int]] = []
     for start, end in _emails(text):
         before, after = _around(text, start, end)
         found.append(Span("email", start, end, _votes("email", 1, before, after), [_shape(text[start:end])[:8], *before[:2]]))
-        taken.append((start, end))
+        mails.append((start, end))
     at = 0
     size = len(text)
     while m := _DIGIT.search(text, at):
@@ -234,7 +241,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
         at = stop
         if start and (c := text[start - 1]) not in " (+\n \t" and ((c.islower() and c.isascii()) or c in "@_=%&#/"):
             continue
-        if taken and any(a <= start < b for a, b in taken):
+        if mails and _touch(mails, start, start + 1):
             continue
         if stop - start <= 5:
             a = _NUMBER_FIRST.match(text, start) if stop < size and (text[stop] in "  ,\n" or text[stop].isalpha()) else None
@@ -245,7 +252,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
                 before, after = _around(text, begin, a.end())
                 end = _TAIL.match(text, a.end() if begin == start else _LETTER.match(text, stop).end()).end()
                 found.append(Span("address", begin, end, _votes("address", 1, before, after), [_shape(text[begin : a.end()])[:8], *before[:2]]))
-                taken.append((begin, end))
+                numbers.append((begin, end))
                 at = max(at, end)
                 continue
         if number := _number_at(text, start):
@@ -254,7 +261,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
             votes = _votes(kind, 1 if strong else 0, before, after)
             votes[5] = -int(after.isalpha() and after.islower() and after.isascii() and not strong)
             found.append(Span(kind, begin, end, votes, [_shape(text[begin:end]), *before[:3], f"after {after.lower()}" if after.isascii() else ""]))
-            taken.append((begin, end))
+            numbers.append((begin, end))
             at = max(at, end)
     group = 0
     for m in _TOKEN.finditer(text):
@@ -277,7 +284,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
                 continue
             family = match[2] if back else match[3]
             begin, stop = (match.start(), end) if back else (start, match.end())
-            if back and (family.lower() in given or family.lower() in _NO_FAMILY) or any(a < stop and begin < b for a, b in taken):
+            if back and (family.lower() in given or family.lower() in _NO_FAMILY) or _touch(mails, begin, stop) or _touch(numbers, begin, stop):
                 continue
             before, after = _around(text, begin, stop)
             strength = bool(match[3] if back else match[1] or match[2]) or "-" in family or "'" in family or "’" in family
