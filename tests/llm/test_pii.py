@@ -87,6 +87,29 @@ def test_learns_names_from_decoys(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [3, 40])
+def test_one_person_in_many_posts(spark, times):
+    """A family name that one person alone has is found however often the person signs or is mentioned."""
+    signed = [(5000 + i, "Regards,\nWill Farnell", "<p>Regards,<br>Will Farnell</p>", "2024-01-01T00:00:00Z") for i in range(times)]
+    plain = [(6000 + i, "See what came of it: Will Farnell. Will saving help?", None, "2024-01-01T00:00:00Z") for i in range(times)]
+    posts, given = make(spark, forum() + signed + plain)
+    got = {(r.post_id, r.field_name) for r in P.found(posts, given).collect() if r.kind == "name"}
+    want = {(i, f) for i in range(120) for f in ("plain_text", "cooked")} | {(r[0], f) for r in signed for f in ("plain_text", "cooked")} | {(r[0], "plain_text") for r in plain}
+    assert got == want
+
+
+def test_surname_votes_are_by_share(spark):
+    """An ordinary word after given names is no surname, an unshared surname is one; both at every size, counted once a post."""
+    for times in (1, 12):
+        rows = [(100 * k + i, f"Signed: {g} Velby", f"<b>Signed: {g} Velby</b>", None) for k in range(times) for i, g in enumerate(("Anna",))]
+        rows += [(100_000 + 100 * k + i, f"Regards, {g} Could you look?", None, None) for k in range(times) for i, g in enumerate(("Omar", "Rosa", "Grace", "Will"))]
+        rows += [(200_000 + k, "if you could", "<p class='velby'>anna.velby@x.example, we could</p>", None) for k in range(300 * times)]
+        posts, _ = make(spark, rows)
+        versions = P.latest_posts(posts)
+        names = P.with_gazetteer(P.candidates(versions, GIVEN), versions).where("kind = 'name'")
+        assert {(r.family, r.votes[-1]) for r in names.collect()} == {("velby", 1), ("could", -1)}, times
+
+
 def test_versions_nulls_repeats_clashes(spark):
     a, b = "tel +44 1632 960136", "nothing"
     rows = [(1, a, None, "2024-01-01T00:00:00Z"), (1, b, None, "2024-01-02T00:00:00Z"), (2, a, "", "2024-01-01T00:00:00Z"), (2, a, "", "2024-01-01T00:00:00Z"), (3, None, None, None), (None, a, None, None), (4, "x " * 200_000 + a, None, "bad")]

@@ -38,6 +38,8 @@ FITTED, SPACE = 20_000, 1 << 12
 #: Most given names that are sent to the workers.
 MOST_NAMES = 200_000
 EM_STEPS = 50
+#: Of the posts that hold a word, the share with it as a surname: up to which it is none, from which it may be one.
+COMMON, SURNAME = 0.02, 0.25
 
 # ---- Forms -----------------------------------------------------------------------------------------------------------
 
@@ -390,6 +392,7 @@ def scan_html(raw: str, given: frozenset[str]) -> list[Span]:
 
 # ---- Labels and classifier -------------------------------------------------------------------------------------------
 
+_SMALL = r"(?<![\p{L}\p{N}@＠_.+/\x27’-])\p{Ll}[\p{Ll}\x27’]*+(?![\p{L}\p{N}@＠_+/-])(?!\.[\p{L}\p{N}])"  # a small word by itself; \x27 is an apostrophe
 _CANDIDATE = "post_id long, field_name string, kind string, start_at long, end_at long, votes array<int>, features array<int>, given string, family string, grp long, bare boolean"
 
 
@@ -423,14 +426,29 @@ def candidates(posts: DataFrame, given: frozenset[str]) -> DataFrame:
     return materialize(posts.mapInPandas(look, _CANDIDATE), "pii")
 
 
-def with_gazetteer(found: DataFrame) -> DataFrame:
-    """Candidates with the vote of the surnames the corpus itself shows: a word that follows several given names is one, a word seen often after one only is none.
+def ordinary_words(posts: DataFrame) -> DataFrame:
+    """word, posts: in how many posts each word stands small and by itself (not within an address, a user name or markup)."""
+    words = [F.expr(rf"regexp_extract_all({text}, r'{_SMALL}', 0)") for text in ("plain_text", "regexp_replace(cooked, '<[^<>]*>', ' ')")]
+    none = F.array().cast("array<string>")
+    return posts.select(F.explode(F.array_union(*[F.coalesce(w, none) for w in words])).alias("word")).groupBy("word").agg(F.count("*").alias("posts"))
 
-    A word before a given name, without a comma, is no surname unless it is seen as one elsewhere.
+
+def with_gazetteer(found: DataFrame, posts: DataFrame) -> DataFrame:
+    """Candidates with the vote of the surnames the corpus itself shows, by shares of posts, so that it is alike at every size.
+
+    A word that at most COMMON of the posts with it use as a surname (the others have it small) is none. A word that is
+    a surname in at least SURNAME of them is one unless in half of those posts the other votes speak against a person; how
+    many given names it follows doesn't count, nor how often. A word before a given name, without a comma, is no surname
+    unless it is seen as one elsewhere.
     """
-    names = found.where("kind = 'name' AND NOT bare").groupBy("family").agg(F.count_distinct("given").alias("partners"), F.count("*").alias("times"))
-    vote = F.when(F.col("partners") >= 3, 1).when((F.col("partners") == 1) & (F.col("times") >= 8), -1).otherwise(0)
-    joined = found.join(names.select(F.col("family").alias("_f"), vote.alias("_v")), F.col("family") == F.col("_f"), "left")
+    sum_ = F.aggregate(F.slice("votes", 1, VOTES - 1), F.lit(0), lambda a, v: a + v)
+    seen = found.where("kind = 'name' AND NOT bare").groupBy("family", "post_id").agg((F.max(sum_) < 0).alias("thing"))
+    names = seen.groupBy("family").agg(F.count("*").alias("uses"), F.count_if("thing").alias("things"))
+    names = names.join(ordinary_words(posts).withColumnRenamed("word", "family"), "family", "left")
+    share = F.col("uses") / (F.col("uses") + F.coalesce("posts", F.lit(0)))
+    vote = F.when(share <= COMMON, -1).when((share >= SURNAME) & (F.col("things") * 2 < F.col("uses")), 1).otherwise(0)
+    surnames = materialize(names.select(F.col("family").alias("_f"), vote.alias("_v")), "surnames")
+    joined = found.join(surnames, F.col("family") == F.col("_f"), "left")
     seen = F.when(F.col("bare") & (F.coalesce("_v", F.lit(0)) < 1), -1).otherwise(F.col("_v"))
     return joined.withColumn("_v", seen).withColumn("votes", F.when(F.col("_v").isNull(), F.col("votes")).otherwise(F.concat(F.slice("votes", 1, VOTES - 1), F.array("_v")))).drop("_f", "_v")
 
@@ -511,7 +529,8 @@ def fit(sample: pd.DataFrame, likely: dict[tuple[str, tuple[int, ...]], float],
 
 def spans(posts: DataFrame, given_names: DataFrame) -> DataFrame:
     """post_id, field_name, kind, start_at, end_at, score of every span that the classifier takes for personal information."""
-    found = with_gazetteer(candidates(latest_posts(posts), names_of(given_names)))
+    versions = latest_posts(posts)
+    found = with_gazetteer(candidates(versions, names_of(given_names)), versions)
     patterns = found.groupBy("kind", "votes").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** VOTES rows a kind
     likely = weigh(patterns)
     rank = F.xxhash64("kind", "post_id", "field_name", "start_at")
