@@ -70,3 +70,14 @@ def test_edited_copy_scores(spark):
     edited = w[:14] + ["new"] + w[15:]
     rows = L.leaks(spark.createDataFrame([(1, " ".join(edited))], DOCS), spark.createDataFrame([(1, " ".join(w))], ITEMS)).collect()
     assert [(r.score, r.run_words, r.item_words) for r in rows] == [(77, 25, 40)]
+
+
+def test_copies_edited_all_over(spark):
+    """An edit every 8 to 10 words leaves no run of RUN words; the copy is aligned, also beside a whole one that holds every n-gram."""
+    w = [f"k{i}" for i in range(60)]
+    docs = [(n, " ".join(f"new{i}" if i % n == n - 1 else x for i, x in enumerate(w))) for n in (8, 9, 10)]
+    for more in ([], [(1, " ".join(w))]):
+        rows = L.leaks(spark.createDataFrame(docs + more + [(2, " ".join(w[:7]))], DOCS), spark.createDataFrame([(1, " ".join(w))], ITEMS)).collect()
+        got = {r.doc_id: (r.score, r.run_words) for r in rows}
+        assert {n: got.get(n) for n in (8, 9, 10)} == {8: (99, 7), 9: (102, 8), 10: (103, 9)}
+        assert (got.get(1) == (120, 60)) == bool(more)

@@ -3,8 +3,10 @@
 Every window of RUN words of an item is represented by its rarest n-gram in the corpus (exact counts over all documents),
 so a passage of RUN consecutive words that an item and a document share always contains a seed of that item: no such leak
 is lost, and no frequent phrase (a prompt that many texts begin with) becomes a seed unless a passage has nothing rarer.
-Pairs that share a seed are aligned word by word; an edited copy scores by its best local alignment, and an exact run is
-told by its length.
+An edited copy may lack every seed, so a pair is also taken if the document holds n-grams of two stretches of the item
+that are apart by an edit, at most RUN words from one to the next, however frequent they are. A pair that shares a single
+stretch of less than RUN words without a seed is not looked at. Pairs are aligned word by word; an edited copy scores by
+its best local alignment, and an exact run is told by its length.
 
 Words are runs of letters and digits, case ignored. Null, empty and blank texts hold no words and leak nothing; items of
 fewer than RUN words have no window. Items with one text are aligned once and reported each. Documents with one text are
@@ -125,6 +127,13 @@ def seeds(found: DataFrame, hits: DataFrame) -> DataFrame:
     return windows.where(F.col("n") == width + 1).select("text_id", "best.gram").distinct()
 
 
+def stretches(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, text_id of documents with two n-grams of an item, no more than RUN words apart, and none of those between them."""
+    places = hits.join(found, "gram").select("doc_id", "text_id", "at").distinct()
+    step = F.col("at") - F.lag("at").over(Window.partitionBy("doc_id", "text_id").orderBy("at"))
+    return places.select("doc_id", "text_id", step.alias("step")).where(F.col("step").between(2, RUN)).select("doc_id", "text_id").distinct()
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Score of the best local alignment of two word sequences, and the length of their longest common run.
 
@@ -152,13 +161,13 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, item_words, run_words of every document and item that share a seed."""
+    """doc_id, item_id, score, item_words, run_words of every document and item that share a seed or two stretches."""
     documents, items = columns(documents, "doc_id", "text"), columns(items, "item_id", "text")
     keyed = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", F.xxhash64("text").alias("text_id")).distinct()
     texts = item_texts(items)
     found = materialize(item_grams(texts), "item-grams")
     hits = materialize(gram_hits(documents, found.select("gram").distinct()), "gram-hits")
-    pairs = hits.join(seeds(found, hits), "gram").select("doc_id", "text_id").distinct()
+    pairs = hits.join(seeds(found, hits), "gram").select("doc_id", "text_id").unionByName(stretches(found, hits)).distinct()
     pairs = pairs.join(texts.withColumnRenamed("text", "item_text"), "text_id").join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
