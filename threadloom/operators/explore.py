@@ -48,7 +48,7 @@ def search_context(nodes: DataFrame, edges: DataFrame, term: str, kinds: tuple[s
 
 def topic_index(c: Corpus, longest: int = 4000) -> DataFrame:
     """topic_id, title, created_at, excerpt, posts: what a preview shows; blank posts are left out, long ones cut, a missing time is that of the first post."""
-    p = c.posts.where("trim(plain_text) <> ''").select("topic_id", "post_number", "post_id", "created_at", "username", X.truncated(F.col("plain_text"), longest).alias("text"))
+    p = c.posts_text.where("trim(plain_text) <> ''").select("topic_id", "post_number", "post_id", "created_at", "username", X.truncated(F.col("plain_text"), longest).alias("text"))
     shown = p.groupBy("topic_id").agg(F.min(F.struct("post_number", "post_id", "created_at", "text")).alias("f"), F.count("*").alias("posts"))
     t = c.topics_raw.select(F.col("id").alias("topic_id"), topic_name().alias("title"), F.col("created_at").try_cast("timestamp_ntz").alias("at"))
     return t.join(shown, "topic_id", "left").select("topic_id", "title", F.coalesce("at", "f.created_at").alias("created_at"), X.truncated(F.col("f.text"), 240).alias("excerpt"), F.coalesce("posts", F.lit(0)).alias("posts"))

@@ -121,7 +121,7 @@ def topic_documents(c: Corpus) -> DataFrame:
     shown = c.topic_tags.select("topic_id", tag_display(F.col("tag_name"), F.col("tag_slug")).alias("t")).where("t <> ''").groupBy("topic_id").agg(F.array_join(F.sort_array(F.collect_set("t")), ", ").alias("tags"))
     body = X.blobs_elided(stripped(F.col("plain_text")))
     reply = F.when(F.coalesce("reply_to_post_number", F.lit(0)) != 0, F.concat(F.lit("(in reply to post #"), F.col("reply_to_post_number").cast("string"), F.lit(")\n"))).otherwise("")
-    p = c.posts.select("topic_id", "post_number", "post_id", F.coalesce("username", F.lit("unknown")).alias("u"), reply.alias("reply"), body.alias("body")).where("body <> ''")
+    p = c.posts_text.select("topic_id", "post_number", "post_id", F.coalesce("username", F.lit("unknown")).alias("u"), reply.alias("reply"), body.alias("body")).where("body <> ''")
     block = F.concat("u", F.lit(":\n"), "reply", "body", F.lit("\n"))
     blocks = p.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("post_number", "post_id", block.alias("x")))).alias("blocks"))
     status = F.array_join(F.array_compact(F.array(F.when(F.col("closed"), "closed"), F.when(F.col("archived"), "archived"))), ", ")

@@ -49,7 +49,7 @@ def search(c: Corpus, term: str) -> DataFrame:
     at = F.position(F.lit(term.lower()), low)
     start = F.greatest(F.lit(1), at - 60)
     snippet = F.concat(F.substr(text, start, F.lit(150)), F.when(F.length(text) > 150, "...").otherwise(""))
-    return c.posts.where(low.contains(term.lower())).select("topic_id", "post_id", "username", F.to_date("created_at").alias("posted"), snippet.alias("snippet")).orderBy(F.desc_nulls_last("posted"), "post_id").limit(LIMIT)
+    return c.posts_text.where(low.contains(term.lower())).select("topic_id", "post_id", "username", F.to_date("created_at").alias("posted"), snippet.alias("snippet")).orderBy(F.desc_nulls_last("posted"), "post_id").limit(LIMIT)
 
 
 def response_time_by_category(c: Corpus) -> DataFrame:
@@ -78,7 +78,7 @@ def _themed(c: Corpus) -> DataFrame:
     """Posts by each theme they hold; one pass over the texts, the themes are a fixed list."""
     low = F.lower("plain_text")
     held = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in THEMES]))
-    return c.posts.select("topic_id", "category", F.explode(held).alias("theme"))
+    return c.posts_text.select("topic_id", "category", F.explode(held).alias("theme"))
 
 
 def theme_frequency(c: Corpus) -> DataFrame:
@@ -98,7 +98,7 @@ def gap_phrases(c: Corpus) -> DataFrame:
     hit = F.lit(False)
     for p in PHRASES:
         hit = hit | low.contains(p)
-    return c.posts.where(hit).select("topic_id", "post_id", "username", F.left("plain_text", F.lit(180)).alias("excerpt"))
+    return c.posts_text.where(hit).select("topic_id", "post_id", "username", F.left("plain_text", F.lit(180)).alias("excerpt"))
 
 
 def engaged_open(c: Corpus) -> DataFrame:
@@ -112,7 +112,7 @@ def recent(c: Corpus, now: str = "2025-06-01 00:00:00", days: int = 30) -> DataF
 
 def co_mention(c: Corpus, a: str, b: str) -> DataFrame:
     low = F.lower("plain_text")
-    return c.posts.where(low.contains(a.lower()) & low.contains(b.lower())).select("topic_id", "post_id", "username")
+    return c.posts_text.where(low.contains(a.lower()) & low.contains(b.lower())).select("topic_id", "post_id", "username")
 
 
 def thread_of_topic(c: Corpus, topic: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """The forum's relations, from its stored tables.
 
 Tables hold a row per crawl; each relation is over the latest row of each topic and post. Frames are lazy and narrow:
-texts are read only where a relation has them. Null keys form no topic or post; ties are broken by the counters.
+`posts` has no texts, so that counting neither reads, shuffles nor sorts them; `posts_text` is the same with plain_text.
+Null keys form no topic or post; ties are broken by the counters, then by every other short column, last by the text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from ..functions.tags import tag_fields
 from ..sources.tables import table
 
 TOPIC_ORDER = ("fetched_at", "views", "like_count", "posts_count", "reply_count", "bumped_at", "last_posted_at")
-POST_ORDER = ("updated_at", "like_count", "reads", "reply_count", "quote_count", "plain_text")
+POST_ORDER = ("updated_at", "like_count", "reads", "reply_count", "quote_count")
+#: The columns that break what ties are left, so that versions that differ in any of them have one order.
+POST_TIES = ("topic_id", "post_number", "username", "created_at", "display_name", "reply_to_post_number")
 
 
 def moment(text: Column) -> Column:
@@ -61,16 +64,25 @@ class Corpus:
             *[moment(F.col(f"t.{c}")).alias(c) for c in ("created_at", "last_posted_at", "bumped_at")], "t.views", "t.like_count", "t.posts_count", "t.reply_count", "t.pinned", "t.closed", "t.archived",
         )
 
-    @cached_property
-    def posts(self) -> DataFrame:
-        """17 columns: each post with what its topic says."""
-        p = newest(self.table("posts"), "id", POST_ORDER).where("id IS NOT NULL").alias("p")
+    def _posts(self, *texts: str) -> DataFrame:
+        """Each post with what its topic says, and these of its texts."""
+        p = newest(self.table("posts"), "id", POST_ORDER + POST_TIES + texts).where("id IS NOT NULL").alias("p")
         t = self.topics.select(F.col("id").alias("topic_id"), F.col("title").alias("topic_title"), "category_id", "category", "parent_category").alias("t")
         return p.join(t, "topic_id").select(
             "topic_id", "t.topic_title", "t.category_id", "t.category", "t.parent_category", F.col("p.id").alias("post_id"), "p.post_number", "p.username", "p.display_name",
-            moment(F.col("p.created_at")).alias("created_at"), moment(F.col("p.updated_at")).alias("updated_at"), "p.plain_text", "p.like_count", "p.reply_count", "p.reply_to_post_number", "p.quote_count", "p.reads",
+            moment(F.col("p.created_at")).alias("created_at"), moment(F.col("p.updated_at")).alias("updated_at"), *[f"p.{c}" for c in texts], "p.like_count", "p.reply_count", "p.reply_to_post_number", "p.quote_count", "p.reads",
         )
 
+    @cached_property
+    def posts(self) -> DataFrame:
+        """16 columns: each post without its text."""
+        return self._posts()
+
+    @cached_property
+    def posts_text(self) -> DataFrame:
+        """17 columns: each post with its plain_text."""
+        return self._posts("plain_text")
+
     @cached_property
     def topic_tags(self) -> DataFrame:
         """A row for each element of a topic's tags; null elements have null fields."""
@@ -132,5 +144,5 @@ class Corpus:
         """All relations as temporary views of the session, for ad-hoc SQL; returns their names."""
         names = ["topics", "posts", "categories", "category_parents", "topic_tags", "topic_summary", "topic_participants", "topic_threads", "user_activity"]
         for name in names:
-            getattr(self, name).createOrReplaceTempView(name)
+            getattr(self, "posts_text" if name == "posts" else name).createOrReplaceTempView(name)
         return names

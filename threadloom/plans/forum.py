@@ -20,7 +20,7 @@ def _of(f: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topics_view": _of(lambda c: c.topics),
-    "posts_view": _of(lambda c: c.posts),
+    "posts_view": _of(lambda c: c.posts_text),
     "category_parents_view": _of(lambda c: c.category_parents),
     "topic_tags_view": _of(lambda c: c.topic_tags),
     "topic_summary_view": _of(lambda c: c.topic_summary),
