@@ -60,3 +60,27 @@ def test_consistent_table(spark):
     got = {r.rid: r for r in drift.consistent(df).collect()}
     assert set(got) == {"1", "2"} and got["1"].title == "B" and got["2"].title is None
     assert got["1"].plain["title"] == "B" and got["1"].alternatives["created_at"] == "integer"
+
+
+def test_table_has_what_the_lineages_have(spark):
+    """Names that no fixture has, alternatives as branches, records without an id, columns with taken names."""
+    df = files(spark, {
+        1: [{"id": 1, "wagons": 3, "colour": ["red"], "plain": "x", "seen": "2024-01-02"}, {"wagons": 4}, {"wagons": 4}],
+        2: [{"id": 2, "wagons": "5", "hue": "red|blue", "plain": "y", "seen": 1704164645}, {"id": 1, "wagons": 6, "hue": {"red": True}, "plain": None}],
+    })
+    t = drift.consistent(df)
+    assert {"wagons", "wagons__integer", "wagons__string", "hue", "plain_", "seen", "seen__integer", "seen__string"} <= set(t.columns) and "colour" not in t.columns
+    rows = t.collect()
+    by = {r.rid: r for r in rows if r.rid}
+    assert len(rows) == 4 and sorted(r.wagons for r in rows if r.rid is None) == [4, 4]
+    assert (by["2"].wagons, by["2"].wagons__integer, by["2"].wagons__string, by["2"].hue, by["2"].plain_) == (5, None, "5", ["blue", "red"], "y")
+    assert (by["1"].file_no, by["1"].wagons, by["1"].hue, by["1"].plain_) == (2, 6, ["red"], None) and by["1"].alternatives["hue"] == "object"
+
+
+def test_lineages_of_one_name_stay_apart(spark):
+    """A name that was given away and taken up again by another field loses neither."""
+    df = files(spark, {1: [{"id": 1, "a": "u"}], 2: [{"id": 1, "b": "u", "a": "w"}], 3: [{"id": 1, "a": "w", "b": "u"}]})
+    r = drift.consistent(df).first()
+    assert {r.plain["a"], r.plain["b"]} == {"u", "w"}
+    df = files(spark, {1: [{"id": 1, "x": 1}], 2: [{"id": 1, "y": 1}], 3: [{"id": 1, "y": 1, "x": 2}], 4: [{"id": 9, "x": 2}], 5: [{"id": 9, "x": 2}]}, feed="g")
+    assert drift.consistent(df).where("rid = '1'").select("x", "x_2").first()[:] == (1, 2)  # y's lineage began as x, the name of most files
