@@ -44,7 +44,7 @@ OWN_SHARE, OWN_LEAST, KEPT = 0.01, 3, 3
 TOGETHER, DOCUMENTS_A_TASK = 64, 2000
 
 _WORDS = re.compile(r"[^\W_]+")
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SEED)], dtype=np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(RUN)], dtype=np.uint64)
 
 
 class _Hashes(dict):
@@ -65,14 +65,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter((_HASHES[w] for w in _WORDS.findall(text or "")), dtype=np.uint64)
 
 
-def grams(words: np.ndarray) -> np.ndarray:
+def grams(words: np.ndarray, size: int = SEED) -> np.ndarray:
     """The hash of each n-gram of words, as signed 64-bit numbers."""
-    if len(words) < SEED:
+    if len(words) < size:
         return np.empty(0, dtype=np.int64)
-    n = len(words) - SEED + 1
+    n = len(words) - size + 1
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i, power in enumerate(_POWERS):
+        for i, power in enumerate(_POWERS[:size]):
             out += words[i : i + n] * power
         out ^= out >> np.uint64(31)
     return out.view(np.int64)
@@ -244,11 +244,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return align_all([(a, b)])[0]
 
 
+def _prepared(text: str, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An item's words, its own ones, and its runs of RUN words."""
+    words = word_hashes(text)
+    return words, np.array(own, dtype=np.int64).view(np.uint64), np.unique(grams(words, RUN))
+
+
 _SCORED = "doc_id long, text_id long, score long, run_words long, item_words long, own_words long, leak boolean"
 
 
 def aligned(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, item_words, run_words, own_words of every document and item that share a seed or two stretches, and whether that is a leak.
+    """doc_id, item_id, score, item_words, run_words, own_words of documents and items that share a seed or two stretches and may be leaks, and whether they are.
 
     Each document is sent once, with the places of all its items; only the words around those places are aligned. The words
     of the items are sent to every worker up to SENT_GRAMS, beyond that they go along with the places.
@@ -262,7 +268,7 @@ def aligned(documents: DataFrame, items: DataFrame) -> DataFrame:
     by_seed = hits.join(seeds(found, hits), "gram").select("doc_id", "text_id", F.col("at").alias("place"))
     places = by_seed.unionByName(stretches(found, hits)).groupBy("doc_id", "text_id").agg(F.collect_set("place").alias("places"))
     sent = found.limit(SENT_GRAMS + 1).count() <= SENT_GRAMS
-    known = spark.sparkContext.broadcast({r.text_id: (word_hashes(r.text), np.array(r.own, dtype=np.int64).view(np.uint64)) for r in texts.collect()} if sent else {})
+    known = spark.sparkContext.broadcast({r.text_id: _prepared(r.text, r.own) for r in texts.collect()} if sent else {})
     if not sent:
         places = places.join(texts.select("text_id", F.col("text").alias("item_text"), "own"), "text_id")
     entry = F.struct("text_id", "places", *([] if sent else ["item_text", "own"]))
@@ -275,12 +281,15 @@ def aligned(documents: DataFrame, items: DataFrame) -> DataFrame:
             for doc, text, wanted in zip(batch["doc_id"], batch["text"], batch["asked"], strict=True):
                 words = word_hashes(text)
                 for w in wanted:
-                    item, own = known.value[w["text_id"]] if sent else (word_hashes(w["item_text"]), np.array(w["own"], dtype=np.int64).view(np.uint64))
+                    item, own, runs = known.value[w["text_id"]] if sent else _prepared(w["item_text"], w["own"])
                     for lo, hi in windows(list(w["places"]), len(words), len(item)):
-                        keys.append((doc, w["text_id"], len(item)))
-                        pairs.append((item, words[lo:hi]))
-                        n = int(np.isin(own, words[lo:hi]).sum())
-                        kept.append((n, n >= max(min(2, len(own)), len(own) / KEPT)))
+                        part = words[lo:hi]
+                        n = int(np.isin(own, part).sum())
+                        enough = n >= max(min(2, len(own)), len(own) / KEPT)
+                        if enough or np.isin(grams(part, RUN), runs).any():  # else it is no leak, however it aligns
+                            keys.append((doc, w["text_id"], len(item)))
+                            pairs.append((item, part))
+                            kept.append((n, enough))
             rows = [(d, t, s, r, n, k, r >= RUN or s >= LEAK and enough) for (d, t, n), (s, r), (k, enough) in zip(keys, align_all(pairs), kept, strict=True)]
             yield pd.DataFrame(rows, columns=_SCORED.replace(" long", "").replace(" boolean", "").split(", "))
 
