@@ -61,8 +61,9 @@ def test_levels_paths_and_rank(spark):
     assert {r.name: r.hops for r in graph.levels(e, "a", 2).collect()} == {"a": 0, "b": 1, "e": 1, "c": 2, "d": 2}
     assert graph.shortest_paths(e, "a", "d") == [["a", "e", "d"], ["a", "b", "c", "d"]]
     assert graph.shortest_paths(e, "a", "zz") == [] and graph.levels(e, "zz", 2).count() == 0
-    with pytest.raises(ValueError):
-        graph.shortest_paths(e, "a", "d", bound=1)
+    chain = edges_of(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)])
+    assert graph.shortest_paths(chain, "n0", "n9") == [[f"n{i}" for i in range(10)]]  # however far
+    assert {r.name: r.hops for r in graph.levels(chain, "n0").collect()}["n9"] == 9
     score = {r.name: r.score for r in graph.pagerank(e, "a", 6).collect()}
     links = {}
     for a, b in pairs:

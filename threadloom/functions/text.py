@@ -69,7 +69,10 @@ def truncated(text: Column, n: int, mark: str = "...") -> Column:
 
 
 # Words without weight in relation keywords.
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "its", "into", "of", "to", "in", "on", "by", "is", "an", "as", "at", "or", "be")
+STOP_WORDS = (
+    "a", "an", "the", "of", "to", "in", "on", "for", "with", "by", "from", "and", "or", "as", "at", "is", "are", "be", "this", "that", "it", "its",
+    "via", "into", "out", "up", "down", "over", "under", "between", "type", "thing", "stuff", "item",
+)
 
 
 def tokens(phrase: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,22 +124,18 @@ def token_buckets(counts: DataFrame, n: int = 12) -> DataFrame:
     """keyword, bucket, bucket_name: discoverable keywords routed to n seed tokens.
 
     Seeds are the most frequent tokens of which none holds another; a keyword goes to the first seed that one of its
-    tokens equals, holds or is held by; buckets are numbered by size. Only the seeds, n words, reach the driver: they are
-    picked from the head of the ranking, read in growing parts until there are enough.
+    tokens equals, holds or is held by; buckets are numbered by size. Only heads of the ranking, 4 n words, reach the driver;
+    what the seeds so far rule out is filtered before the next head is taken.
     """
     free = counts.where(~F.col("keyword").isin(*PIN_KEYWORDS))
-    ranked = token_counts(free).orderBy(F.desc("n"), "token")
+    left = materialize(token_counts(free), "tokens")
     seeds: list[str] = []
-    read, step = 0, 256
-    while len(seeds) < n:
-        head = [r.token for r in ranked.offset(read).limit(step).collect()]
-        for t in head:
+    while len(seeds) < n and (head := left.orderBy(F.desc("n"), "token").limit(4 * n).collect()):
+        for t in (r.token for r in head):
             if len(seeds) < n and not any(t in s or s in t for s in seeds):
                 seeds.append(t)
-        read += step
-        step *= 2
-        if len(head) < step // 2:
-            break
+        for s in seeds:  # what a seed holds or is held by is out of the ranking, so each head is of new candidates
+            left = left.where(~(F.col("token").contains(s) | F.contains(F.lit(s), F.col("token"))))
     found = F.lit(None).cast("int")
     toks = X.tokens(F.col("keyword"))
     for i, seed in reversed([*enumerate(seeds)]):
@@ -251,84 +248,98 @@ def provenance(entities: DataFrame, relations: DataFrame, name: str) -> DataFram
 # ---- Paths and iterations --------------------------------------------------------------------------------------------
 
 
-def levels(edges: DataFrame, start: str, most: int, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """name, hops: nodes within `most` hops of a start that lead there past none of the blocked ones."""
+def levels(edges: DataFrame, start: str, most: int | None = None, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """name, hops: nodes that a start leads to past none of the blocked ones, and how far they are; within `most` hops if that is given.
+
+    Each round joins the frontier alone and writes it; the nodes seen so far are the frontiers so far, of which a node's
+    neighbours can only be in the last two.
+    """
     adj = adjacency(edges.where(~F.col("a").isin(*blocked) & ~F.col("b").isin(*blocked)) if blocked else edges).select("x", "y")
-    seen = adj.where(F.col("x") == start).select(F.col("x").alias("name"), F.lit(0).alias("hops")).distinct()
-    for hop in range(1, most + 1):
-        frontier = seen.where(F.col("hops") == hop - 1).select(F.col("name").alias("x"))
-        new = adj.join(frontier, "x").select(F.col("y").alias("name")).distinct().join(seen, "name", "left_anti").select("name", F.lit(hop).alias("hops"))
-        seen = seen.unionByName(new)
-        if hop % 2 == 0 and hop < most:
-            seen = materialize(seen, "levels")
-            if seen.where(F.col("hops") == hop).isEmpty():
-                break
-    return seen
-
-
-def shortest_paths(edges: DataFrame, start: str, goal: str, k: int = 3, most: int = 6, bound: int = 500_000) -> list[list[str]]:
-    """Up to k simple paths, shortest first, equal ones by name, of no more than `most` hops.
-
-    Only edges on some path that short are gathered (both ends within reach of start and goal together); more than `bound`
-    of them are refused.
+    parts = [materialize(adj.where(F.col("x") == start).select(F.col("x").alias("name"), F.lit(0).alias("hops")).distinct(), "levels")]
+    while most is None or len(parts) <= most:
+        near = adj.join(parts[-1].select(F.col("name").alias("x")), "x").select(F.col("y").alias("name")).distinct()
+        for p in parts[-2:]:
+            near = near.join(p, "name", "left_anti")
+        new = materialize(near.select("name", F.lit(len(parts)).alias("hops")), "levels")
+        if new.isEmpty():
+            break
+        parts.append(new)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def shortest_paths(edges: DataFrame, start: str, goal: str, k: int = 3) -> list[list[str]]:
+    """Up to k simple paths, shortest first, equal ones by name, however long they are.
+
+    Distances to the goal are found level by level. Paths grow from the start, the one of least hops so far and to go first;
+    the unfinished ones are a table, of which each step reads the least row and adds that node's neighbours. Nothing but the
+    paths taken up reaches the driver, about k times as many as a path has nodes.
     """
-    a, b = levels(edges, start, most), levels(edges, goal, most)
-    near = a.join(b.withColumnRenamed("hops", "back"), "name").where(F.col("hops") + F.col("back") <= most).select("name")
-    kept = edges.select("a", "b").join(near.withColumnRenamed("name", "a"), "a", "left_semi").join(near.withColumnRenamed("name", "b"), "b", "left_semi")
-    rows = kept.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} edges between {start} and {goal}")
-    links: dict[str, set[str]] = {}
-    for r in rows:
-        links.setdefault(r.a, set()).add(r.b)
-        links.setdefault(r.b, set()).add(r.a)
-    back = {r.name: r.hops for r in b.join(near, "name", "left_semi").collect()}
+    back = levels(edges, goal)
+    first = back.where(F.col("name") == start).first()
+    if first is None:
+        return []
+    adj = materialize(adjacency(edges).where("x <> y").select("x", "y").distinct().join(back.select(F.col("name").alias("y"), F.col("hops").alias("rest")), "y"), "links")
+    unfinished = edges.sparkSession.createDataFrame([([start], first.hops)], "path array<string>, total int")
     found: list[list[str]] = []
-    heap = [(back.get(start, most + 1), [start])]
-    while heap and len(found) < k:  # best first: hops so far and the least that remain
-        total, path = heapq.heappop(heap)
+    while len(found) < k and (least := unfinished.orderBy("total", "path").first()):
+        path = least.path
+        unfinished = unfinished.where(F.col("path") != F.array(*map(F.lit, path)))
         if path[-1] == goal:
             found.append(path)
             continue
-        for y in links.get(path[-1], ()):
-            if y not in path and (rest := len(path) + back.get(y, most + 1)) <= most:
-                heapq.heappush(heap, (rest, [*path, y]))
+        new = adj.where((F.col("x") == path[-1]) & ~F.col("y").isin(*path)).select(F.concat(F.array(*map(F.lit, path)), F.array("y")).alias("path"), (F.col("rest") + len(path)).alias("total"))
+        unfinished = materialize(unfinished.unionByName(new), "unfinished")
     return found
 
 
 def pagerank(edges: DataFrame, seed: str, rounds: int = 30, restart: float = 0.15) -> DataFrame:
-    """name, score of a personalised PageRank; each round gives the seed `restart` and every node its neighbours' shares."""
+    """name, score of a personalised PageRank; each round gives the seed `restart` and every node its neighbours' shares.
+
+    Links are parted by the node they leave once and kept so; a round moves the ranks alone.
+    """
     adj = adjacency(edges).select("x", "y")
     out = adj.groupBy("x").agg(F.count("*").alias("d"))
-    links = materialize(adj.join(out, "x"), "links")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = materialize(adj.join(out, "x"), "links").repartition(parts, "x").persist(StorageLevel.MEMORY_AND_DISK)  # lost parts are read again from what was written
     rank = links.where(F.col("x") == seed).select(F.col("x").alias("name"), F.lit(1.0).alias("p")).distinct()
     home = rank.select("name", F.lit(restart).alias("p"))
     for i in range(rounds):
         shares = links.join(rank, links["x"] == rank["name"]).select(F.col("y").alias("name"), (F.col("p") / F.col("d") * (1 - restart)).alias("p"))
         rank = shares.unionByName(home).groupBy("name").agg(F.sum("p").alias("p"))
-        if i % ROUNDS == ROUNDS - 1 and i < rounds - 1:
+        if i % ROUNDS == ROUNDS - 1 or i == rounds - 1:
             rank = materialize(rank, "rank")
+    links.unpersist()
     return rank.select("name", (F.floor(F.col("p") * 1e8 + 0.5) / 1e8).alias("score"))
 
 
+def _fingerprint(pairs: DataFrame) -> tuple:
+    """Number of pairs and two sums over their hashes, which differ if the pairs do."""
+    wide = "decimal(38,0)"
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast(wide)), F.sum(F.xxhash64("v", F.lit(7), "u").cast(wide))).first())
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """name, component: the least name of a node's connected component.
 
     Alternating large-star and small-star steps halve the height of the label trees, so the number of rounds grows with
-    the logarithm of the diameter; labels stay in tables.
+    the logarithm of the diameter; labels stay in tables. A round that changes no pair is the last; that is told by a
+    fingerprint of the pairs, one aggregate a round.
     """
     pairs = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    before = _fingerprint(pairs)
     while True:
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = materialize(small, "stars")
-        same = new.exceptAll(pairs).isEmpty() and pairs.exceptAll(new).isEmpty()
-        pairs = new
-        if same:
+        pairs = materialize(small, "stars")
+        if (now := _fingerprint(pairs)) == before:
             break
+        before = now
     found = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("name"), "component")
     roots = found.select(F.col("component").alias("name"), "component").distinct()
     labelled = found.unionByName(roots)
@@ -400,40 +411,73 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     return ends.distinct().groupBy("name").agg(F.count("*").alias("blocks")).where("blocks > 1").select("name")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """name, community: nodes move to the neighbouring community of greatest modularity gain; communities are numbered by size.
+#: Least gain in modularity for which two more rounds of moves are made.
+GAIN = 1e-6
+
+
+def _moved(adj: DataFrame, strength: DataFrame, total: float) -> DataFrame:
+    """name, community after moves of single nodes (x, y, weight) until they no longer raise the modularity.
 
     Each round half of the nodes move, those whose name hashes to the round's parity, so that neighbours don't swap; what a
     round needs of a community is its total degree. The result depends on the names alone.
     """
-    adj = materialize(adjacency(edges), "adj")
-    strength = materialize(adj.groupBy(F.col("x").alias("name")).agg(F.sum("weight").alias("k")), "strength")
-    total = strength.agg(F.sum("k").alias("m2")).first().m2 or 1.0
     member = materialize(strength.select("name", F.col("name").alias("community")), "member")
-    for r in range(rounds):
+    best, best_quality, r = member, -1.0, 0
+    while True:
         tot = member.join(strength, "name").groupBy("community").agg(F.sum("k").alias("tot"))
-        near = adj.join(member.select(F.col("name").alias("y"), "community"), "y").groupBy(F.col("x").alias("name"), "community").agg(F.sum("weight").alias("w"))
+        near = adj.where("x <> y").join(member.select(F.col("name").alias("y"), "community"), "y").groupBy(F.col("x").alias("name"), "community").agg(F.sum("weight").alias("w"))
         own = member.withColumn("w", F.lit(0.0)).select("name", "community", "w")
         options = near.unionByName(own).groupBy("name", "community").agg(F.sum("w").alias("w")).join(tot, "community").join(strength, "name").join(member.select("name", F.col("community").alias("now")), "name")
         rest = F.col("tot") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.col("k") * rest / total, 9)
-        best = options.withColumn("gain", gain).groupBy("name").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("now")).alias("stay"), "community")).alias("best"), F.max("now").alias("now"))
+        chosen = options.withColumn("gain", gain).groupBy("name").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("now")).alias("stay"), "community")).alias("best"), F.max("now").alias("now"))
         moves = (F.abs(F.hash("name")) % 2) == r % 2
-        new = materialize(best.select("name", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), (moves & (F.col("best") != F.col("now"))).alias("moved")), "member")
+        new = materialize(chosen.select("name", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), (moves & (F.col("best") != F.col("now"))).alias("moved")), "member")
         member = new.select("name", "community")
-        if r % 2 and new.where("moved").isEmpty():
+        r += 1
+        if r % 2 == 0:
+            quality = _quality(member, adj, total)
+            if quality > best_quality + GAIN:
+                best, best_quality = member, quality
+            else:
+                return best if best_quality > quality else member
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, community, size: Louvain's communities, numbered by size.
+
+    Nodes move to the neighbouring community of greatest modularity gain until that gains no more; communities then are
+    nodes of a smaller graph, and so on until none of them moves.
+    """
+    adj = materialize(adjacency(edges), "adj")
+    total = adj.agg(F.sum("weight").alias("m2")).first().m2 or 1.0
+    held = materialize(adj.select(F.col("x").alias("name")).distinct().withColumn("top", F.col("name")), "held")
+    while True:
+        strength = materialize(adj.groupBy(F.col("x").alias("name")).agg(F.sum("weight").alias("k")), "strength")
+        member = _moved(adj, strength, total)
+        if member.where("name <> community").isEmpty():
             break
-    every = nodes.select("name").distinct().join(member, "name", "left").select("name", F.coalesce("community", "name").alias("community"))
+        held = materialize(held.join(member.toDF("top", "community"), "top").select("name", F.col("community").alias("top")), "held")
+        m = member.select("name", "community")
+        adj = materialize(adj.join(m.toDF("x", "cx"), "x").join(m.toDF("y", "cy"), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("weight").alias("weight")), "adj")
+        if member.select("community").distinct().count() == member.count():
+            break
+    every = nodes.select("name").distinct().join(held, "name", "left").select("name", F.coalesce("top", "name").alias("community"))
     sizes = every.groupBy("community").agg(F.count("*").alias("size"))
     place = numbered(sizes, F.desc("size"), F.asc("community"))
     return every.join(place, "community").select("name", F.col("number").alias("community"), "size")
 
 
+def _quality(member: DataFrame, adj: DataFrame, total: float) -> float:
+    """Modularity of a partition (name, community) of edges in both directions."""
+    m = member.select("name", "community")
+    both = adj.join(m.toDF("x", "cx"), "x").join(m.toDF("y", "cy"), "y")
+    inner = both.agg(F.sum(F.when(F.col("cx") == F.col("cy"), F.col("weight")).otherwise(0.0))).first()[0] or 0.0
+    tot = adj.join(m.toDF("x", "c"), "x").groupBy("c").agg(F.sum("weight").alias("t")).agg(F.sum((F.col("t") / total) ** 2)).first()[0] or 0.0
+    return inner / total - tot
+
+
 def modularity(member: DataFrame, edges: DataFrame) -> float:
     """Modularity of a partition (name, community)."""
-    m = member.select("name", "community")
     adj = adjacency(edges)
-    m2 = adj.agg(F.sum("weight")).first()[0]
-    inner = adj.join(m.toDF("x", "cx"), "x").join(m.toDF("y", "cy"), "y").where("cx = cy").agg(F.sum("weight")).first()[0] or 0.0
-    tot = adj.join(m.toDF("x", "c"), "x").groupBy("c").agg(F.sum("weight").alias("t")).agg(F.sum((F.col("t") / m2) ** 2)).first()[0]
-    return inner / m2 - tot
+    return _quality(member, adj, adj.agg(F.sum("weight")).first()[0] or 1.0)
