@@ -88,6 +88,18 @@ def weight_bounds(edges: DataFrame) -> DataFrame:
     return edges.agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("most"), F.coalesce(F.min("weight"), F.lit(1.0)).alias("least"))
 
 
+def signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """signature, nodes, edges: a SHA-256 of the graph's structure (names and ends, no attributes), in whatever order it comes.
+
+    Digests of nodes and edges are hashed by their first three hex digits and those 4096 digests once more, so that no task
+    takes more than a share of them.
+    """
+    digests = nodes.select(F.sha2(F.concat(F.lit("n"), "name"), 256).alias("h"), F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges.select(F.sha2(F.concat(F.lit("e"), "a", F.lit("\x1f"), "b"), 256), F.lit(0), F.lit(1)))
+    parts = digests.groupBy(F.left("h", F.lit(3)).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.sum("n").alias("n"), F.sum("e").alias("e"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")
+    return parts.agg(F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("signature"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("edges"))
+
+
 # ---- Keywords and buckets --------------------------------------------------------------------------------------------
 
 

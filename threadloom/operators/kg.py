@@ -143,6 +143,51 @@ def token_chunks(documents: DataFrame, key: str, text: str, size: int, overlap:
     return at.select(key, "chunk_no", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("chunk"))
 
 
+# ---- Checks after indexing -------------------------------------------------------------------------------------------
+
+
+def structural_types(c: Corpus) -> DataFrame:
+    """name, entity_type: every structural pair that the topics say, each once, types small."""
+    return entities(c, None).select(F.col("entity_name").alias("name"), F.lower("entity_type").alias("entity_type")).where(F.col("entity_type").isin(*STRUCTURAL)).distinct()
+
+
+def reasserted(nodes: DataFrame, truth: DataFrame, force: bool = False) -> DataFrame:
+    """name, entity_type, action: each pair of `truth` held against the graph's nodes.
+
+    `keep` where the node has that type already, `write` where it has another (or always, if forced), `missing` where there
+    is no such node. A name that several structural types claim has a row for each.
+    """
+    j = truth.join(nodes.select("name", F.col("entity_type").alias("_now")), "name", "left")
+    right = F.col("_now") == F.col("entity_type")
+    return j.select("name", "entity_type", F.when(F.col("_now").isNull(), "missing").when(right & F.lit(not force), "keep").otherwise("write").alias("action"))
+
+
+def retyped(nodes: DataFrame, truth: DataFrame) -> DataFrame:
+    """Nodes with structural types put right; of several types that claim a name the last by name is the one that stays."""
+    last = reasserted(nodes, truth).where("action = 'write'").groupBy("name").agg(F.max("entity_type").alias("_type"))
+    return nodes.join(last, "name", "left").withColumn("entity_type", F.coalesce("_type", "entity_type")).drop("_type")
+
+
+def verification(nodes: DataFrame, truth: DataFrame) -> DataFrame:
+    """entity_type, in_graph, in_source, missing: nodes of each structural type, and what the source has of it."""
+    source = truth.groupBy("entity_type").agg(F.count("*").alias("in_source"))
+    graph = nodes.groupBy(F.lower("entity_type").alias("entity_type")).agg(F.count("*").alias("in_graph"))
+    j = source.join(graph, "entity_type", "left").select("entity_type", F.coalesce("in_graph", F.lit(0)).alias("in_graph"), "in_source")
+    return j.withColumn("missing", F.greatest(F.col("in_source") - F.col("in_graph"), F.lit(0)))
+
+
+def buffered(state: DataFrame, operations: DataFrame, key: str, order: str) -> DataFrame:
+    """State after a buffer of upserts and deletes: of each key the last operation wins, deletes are applied after upserts.
+
+    operations have state's columns, `order` (of equal ones deletes win) and `deleted`. One aggregate over the buffer, one
+    join; state is read once however many operations there are.
+    """
+    values = [c for c in state.columns if c != key]
+    last = operations.groupBy(key).agg(F.max_by(F.struct("deleted", *values), F.struct(order, F.col("deleted").cast("int"))).alias("_op"))
+    kept = state.join(last.select(key), key, "left_anti")
+    return kept.unionByName(last.where("NOT _op.deleted").select(key, *[F.col(f"_op.{c}").alias(c) for c in values]))
+
+
 # ---- Canonical names -------------------------------------------------------------------------------------------------
 
 

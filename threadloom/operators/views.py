@@ -41,6 +41,10 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def as_of(self, moment: str) -> Corpus:
+        """The corpus as it was at a moment (ISO text): without the topics and posts made since."""
+        return _Earlier(self.spark, self.sf_dir, moment)
+
     @cached_property
     def categories(self) -> DataFrame:
         return self.table("categories")
@@ -146,3 +150,13 @@ class Corpus:
         for name in names:
             getattr(self, "posts_text" if name == "posts" else name).createOrReplaceTempView(name)
         return names
+
+
+class _Earlier(Corpus):
+    def __init__(self, spark: SparkSession, sf_dir: str, moment: str) -> None:
+        super().__init__(spark, sf_dir)
+        self.moment = moment
+
+    def table(self, name: str) -> DataFrame:
+        df = super().table(name)
+        return df.where(F.col("created_at") < self.moment) if name in ("topics", "posts") else df

@@ -18,6 +18,10 @@ from ..session import materialize, ship, shared_path
 from .forum import over
 
 SEED, GOAL, KINDS = "noisy-shader-cache", "Bug Yard", ("tag", "user", "place")
+#: A moment before which the ledger of the incremental queries was written.
+EARLIER = "2023-06-01"
+
+_WRITTEN: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 class Graph:
@@ -46,8 +50,22 @@ class Graph:
     def edges(self) -> DataFrame:
         return K.merged_edges(self.relations)
 
+    @cached_property
+    def earlier(self) -> Graph:
+        """The graph as of EARLIER."""
+        g = Graph(self.c.spark, self.c.sf_dir)
+        g.c = self.c.as_of(EARLIER)
+        return g
+
     def fixed(self) -> Graph:
-        self.nodes, self.edges = materialize(self.nodes, "nodes"), materialize(self.edges, "edges")
+        """With nodes and edges written, once a session for one state of the tables."""
+        spark = self.c.spark
+        path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{self.c.sf_dir}/{name}.parquet")
+        times = tuple(path(n).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(n)).getModificationTime() for n in ("topics", "posts"))
+        key = (spark.sparkContext.applicationId, self.c.sf_dir, *times)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialize(self.nodes, "nodes"), materialize(self.edges, "edges")
+        self.nodes, self.edges = _WRITTEN[key]
         return self
 
     def buckets(self) -> DataFrame:
@@ -70,8 +88,25 @@ def _paths(g: Graph) -> DataFrame:
     return g.c.spark.createDataFrame([(i, len(p) - 1, p) for i, p in enumerate(found)], "path_no int, hops int, nodes array<string>")
 
 
-def _state(g: Graph) -> str:
-    return shared_path(g.c.spark, "state")
+def _synced(g: Graph) -> DataFrame:
+    """A sync of the corpus onto the state that one of EARLIER left."""
+    state = shared_path(g.c.spark, "state")
+    I.sync(g.earlier.c, state)
+    return I.sync(g.c, state)
+
+
+def _rewritten(g: Graph) -> DataFrame:
+    """The nodes of EARLIER after a buffer: what the graph has since are upserts, what it had and lost are deletes."""
+    was, now = g.earlier.nodes.select("name", "entity_type", "sources"), g.nodes.select("name", "entity_type", "sources")
+    gone = was.join(now.select("name"), "name", "left_anti")
+    operations = now.select("*", F.lit(1).alias("n"), F.lit(False).alias("deleted")).unionByName(gone.select("*", F.lit(2).alias("n"), F.lit(True).alias("deleted")))
+    return K.buffered(was, operations, "name", "n")
+
+
+def _claimed(g: Graph) -> DataFrame:
+    """Nodes as an extractor may leave them: those that it saw as places are places, whatever the topics say."""
+    said = K.places(g.topics)[0].select(F.col("entity_name").alias("name")).distinct().withColumn("place", F.lit("place"))
+    return g.nodes.join(said, "name", "left").withColumn("entity_type", F.coalesce("place", "entity_type")).drop("place")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -115,7 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbour_types": _of(lambda g: G.neighbour_types(g.nodes, g.edges, SEED)),
     "provenance_rank": _of(lambda g: G.provenance(g.entities, g.relations, SEED)),
     "k_hop": _of(lambda g: G.levels(g.fixed().edges, SEED, 2)),
-    "shortest_path_len": _of(lambda g: G.levels(g.fixed().edges, SEED, 6)),
+    "shortest_path_len": _of(lambda g: G.levels(g.fixed().edges, SEED)),
     "k_shortest": _of(_paths),
     "ppr_top10": _of(lambda g: G.pagerank(g.fixed().edges, SEED).where(F.col("name") != SEED).orderBy(F.desc("score"), "name").limit(10)),
     "components": _of(lambda g: G.components(g.fixed().edges, g.nodes)),
@@ -123,11 +158,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "communities": _of(lambda g: G.communities(g.fixed().nodes, g.edges)),
     "canonical_map_case": _of(lambda g: K.case_map(g.variants(), g.nodes.where(F.col("entity_type").isin(*K.STRUCTURAL)))),
     "canonical_map_users": _of(lambda g: K.user_map(g.variants())),
-    "pass1_plan": _of(lambda g: (lambda h: K.plan(h, h.where("topic_id % 3 <> 0").withColumn("hash", F.when(F.col("topic_id") % 3 == 1, F.col("hash")).otherwise("changed"))))(K.payload_hashes(g.c))),
-    "stale_edges": _of(lambda g: K.stale(g.relations, g.relations.where("weight > 0.4"))),
-    "orphans": _of(lambda g: K.orphans(g.nodes, g.edges.where("weight >= 2"))),
-    "title_dedupe": _of(lambda g: K.deduplicated_titles(g.c.topics_raw.select("id", F.substring("title", 1, 12).alias("title")))),
-    "kg_sync": _of(lambda g: I.sync(g.c, _state(g))),
+    "pass1_plan": _of(lambda g: K.plan(K.payload_hashes(g.c), K.payload_hashes(g.earlier.c))),
+    "stale_edges": _of(lambda g: K.stale(g.relations, g.earlier.relations)),
+    "orphans": _of(lambda g: K.orphans(g.nodes, g.earlier.edges)),
+    "type_reassertion": _of(lambda g: K.reasserted(_claimed(g), K.structural_types(g.c))),
+    "retyped_nodes": _of(lambda g: K.retyped(_claimed(g), K.structural_types(g.c)).select("name", "entity_type")),
+    "index_verification": _of(lambda g: K.verification(g.nodes, K.structural_types(g.c))),
+    "buffered_writes": _of(_rewritten),
+    "title_dedupe": _of(lambda g: K.deduplicated_titles(g.c.topics_raw)),
+    "kg_sync": _of(_synced),
     "synth_topics": _of(lambda g: S.topics(g.c.spark, "large")),
     "synth_posts": _of(lambda g: S.posts(g.c.spark, "large")),
     "reply_clock": _of(lambda g: K.reply_clock(g.c.posts)),
@@ -168,9 +207,10 @@ _MONTH = "greatest(0, (year(created_at) - 2018) * 12 + month(created_at) - 1)"
 _STEM = "CASE WHEN length(t) > 6 AND ends_with(t, 'ing') THEN t[:-4] WHEN length(t) > 5 AND ends_with(t, 'ed') THEN t[:-3] WHEN length(t) > 5 AND ends_with(t, 'es') THEN t[:-3] WHEN length(t) > 4 AND ends_with(t, 's') THEN t[:-2] ELSE t END"
 
 
-def on(select: str, more: str = "") -> str:
-    """SQL of a query over the graph."""
-    return over(select, RELATIONS + (", " + more if more else ""))
+def on(select: str, more: str = "", recursive: str = "") -> str:
+    """SQL of a query over the graph; `recursive` relations come before `more`."""
+    text = over(select, ", ".join(x for x in (RELATIONS, recursive, more) if x))
+    return text.replace("WITH", "WITH RECURSIVE", 1) if recursive else text
 
 
 def _levels(most: int) -> str:
@@ -194,6 +234,37 @@ _DOCUMENT = f"""SELECT t0.id AS topic_id, '[' || COALESCE(category_name, 'Genera
   LEFT JOIN (SELECT topic_id, string_agg(DISTINCT t, ', ' ORDER BY t) AS tags_ FROM (SELECT topic_id, COALESCE(NULLIF(tag_name, ''), NULLIF(tag_slug, ''), '') AS t FROM vg) WHERE t <> '' GROUP BY 1) s ON s.topic_id = t0.id
   LEFT JOIN (SELECT topic_id, string_agg(x, chr(10) ORDER BY post_number, post_id) AS body FROM (SELECT topic_id, post_number, post_id, COALESCE(username, 'unknown') || ':' || chr(10) || CASE WHEN COALESCE(reply_to_post_number, 0) <> 0 THEN '(in reply to post #' || reply_to_post_number || ')' || chr(10) ELSE '' END || b || chr(10) AS x FROM (SELECT *, {_ELIDED.format(_STRIP('plain_text'))} AS b FROM vp) WHERE b <> '') GROUP BY 1) b ON b.topic_id = t0.id"""
 
+_CHUNKS = f"SELECT topic_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(p) AS INTEGER) AS n_tokens, array_to_string(p, ' ') AS chunk FROM (SELECT topic_id, chunk_no, w[chunk_no * 1100 + 1 : chunk_no * 1100 + 1200] AS p FROM (SELECT topic_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 1200) / 1100.0)) AS BIGINT) + 1)) AS chunk_no FROM (SELECT topic_id, list_filter(string_split_regex(document, '\\s+'), lambda x: x <> '') AS w FROM ({_DOCUMENT})) WHERE len(w) > 0))"
+
+#: Relations and ledgers as of EARLIER.
+_EARLIER = f"""
+tn1 AS (SELECT * FROM tn WHERE topic_id IN (SELECT id FROM t0 WHERE created_at < '{EARLIER}')),
+us1 AS (SELECT DISTINCT topic_id, username FROM vp WHERE username IS NOT NULL AND username <> '' AND post_id IN (SELECT id FROM posts WHERE created_at < '{EARLIER}')),
+rel1 AS (SELECT name AS src, category AS tgt FROM tn1 UNION ALL SELECT name, tag_label FROM tg JOIN tn1 USING (topic_id) UNION ALL SELECT username, name FROM us1 JOIN tn1 USING (topic_id) UNION ALL SELECT name, place FROM pl WHERE tid IN (SELECT tid FROM tn1)),
+was AS (SELECT topic_id, string_agg(username, ',' ORDER BY username) AS users FROM us1 GROUP BY 1), now AS (SELECT topic_id, string_agg(username, ',' ORDER BY username) AS users FROM us GROUP BY 1)"""
+_ACTION = "CASE WHEN tn1.topic_id IS NULL THEN 'INSERT' WHEN was.users IS NOT DISTINCT FROM now.users THEN 'SKIP' ELSE 'RESEED' END"
+_LEDGERS = "LEFT JOIN tn1 USING (topic_id) LEFT JOIN was USING (topic_id) LEFT JOIN now USING (topic_id)"
+_CLAIMED = "tr AS (SELECT DISTINCT entity_name AS name, lower(entity_type) AS entity_type FROM ent WHERE entity_type <> 'place'), cl AS (SELECT name, CASE WHEN name IN (SELECT place FROM pl) THEN 'place' ELSE entity_type END AS now FROM nd)"
+#: Paths up to a hop longer than the shortest, and the first three of them.
+_PATHS = (
+    f"""bg(name, hops) USING KEY (name) AS (SELECT x, 0 FROM (SELECT DISTINCT x FROM adj WHERE x = '{GOAL}') UNION SELECT y, min(hops) + 1 FROM bg JOIN adj ON x = bg.name WHERE y NOT IN (SELECT name FROM recurring.bg) GROUP BY 1),
+pt(path, last) AS (SELECT [name], name FROM bg WHERE name = '{SEED}' UNION ALL SELECT list_append(path, y), y FROM pt JOIN adj ON x = last JOIN bg ON bg.name = y WHERE last <> '{GOAL}' AND NOT list_contains(path, y) AND len(path) + hops <= (SELECT hops + 1 FROM bg WHERE name = '{SEED}'))""",
+    f"kp AS (SELECT path, row_number() OVER (ORDER BY len(path), path) AS n FROM pt WHERE last = '{GOAL}' QUALIFY n <= 3)",
+)
+#: Token buckets: the seeds, picked along the ranking, and what they route.
+_BUCKETS = (
+    f"""fr AS (SELECT keyword, n, toks FROM tk WHERE keyword NOT IN {_PINNED}),
+rk AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r FROM (SELECT token, sum(n) AS n FROM (SELECT n, unnest(list_distinct(toks)) AS token FROM fr) GROUP BY 1)),
+sd(r, seeds) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[] UNION ALL SELECT sd.r + 1, CASE WHEN len(seeds) < 12 AND len(list_filter(seeds, lambda s: contains(s, token) OR contains(token, s))) = 0 THEN list_append(seeds, token) ELSE seeds END FROM sd JOIN rk ON rk.r = sd.r + 1)""",
+    """ss AS (SELECT seeds FROM sd ORDER BY r DESC LIMIT 1),
+ro AS (SELECT * FROM (SELECT keyword, n, seeds, list_min(list_filter(range(1, len(seeds) + 1), lambda i: len(list_filter(toks, lambda t: contains(t, seeds[i]) OR contains(seeds[i], t))) > 0)) AS seed FROM fr, ss) WHERE seed IS NOT NULL),
+tb AS (SELECT keyword, CAST(b - 1 AS INTEGER) AS bucket, upper(left(seeds[seed], 1)) || seeds[seed][2:] AS bucket_name, n FROM ro JOIN (SELECT seed, row_number() OVER (ORDER BY sum(n) DESC, seed) AS b FROM ro GROUP BY 1) USING (seed)),
+pi(keyword, i) AS (VALUES """ + ", ".join(f"('{k}', {i})" for k, i in K.PIN_KEYWORDS.items()) + f"""),
+ix AS (SELECT keyword, i FROM pi UNION ALL SELECT keyword, bucket + {len(K.PINS)} FROM tb),
+vo AS (SELECT a, b, i, row_number() OVER (PARTITION BY a, b ORDER BY count(*) DESC, i) AS rn FROM kw JOIN ix USING (keyword) GROUP BY 1, 2, 3),
+ce AS (SELECT a, b, weight, CAST(COALESCE(i, -1) AS INTEGER) AS bucket FROM ed LEFT JOIN (SELECT a, b, i FROM vo WHERE rn = 1) USING (a, b))""",
+)
+
 
 SQL: dict[str, str] = {
     "kg_entities": on("SELECT * FROM ent"),
@@ -234,10 +305,25 @@ SQL: dict[str, str] = {
     "canonical_map_case": on(f"SELECT old, canonical FROM (SELECT name AS old, first_value(name) OVER (PARTITION BY key ORDER BY is_seed DESC, {_FOLD('name')} <> name, lower(name) <> name, name) AS canonical FROM ck) WHERE old <> canonical", f"{_VARIANTS}, st AS (SELECT k, min(entity_type) AS kind FROM (SELECT DISTINCT lower(name) AS k, entity_type FROM va WHERE entity_type IN {_TYPES}) GROUP BY 1 HAVING count(*) = 1), mx AS (SELECT k FROM (SELECT DISTINCT lower(name) AS k, entity_type FROM va WHERE entity_type IN {_TYPES}) GROUP BY 1 HAVING count(*) > 1), ck AS (SELECT name, name IN (SELECT name FROM nd WHERE entity_type IN {_TYPES}) AS is_seed, CASE WHEN COALESCE(kind, entity_type) = 'tag' THEN 'tag:' || {_FOLD('lower(name)')} ELSE 'any:' || lower(name) END AS key FROM va LEFT JOIN st ON k = lower(name) WHERE lower(name) NOT IN (SELECT k FROM mx))"),
     "canonical_map_users": on(r"SELECT old, canonical FROM (SELECT name AS old, lower(regexp_replace(regexp_replace(regexp_replace(name, '^User\s+', ''), '\s+Person$', ''), '\s+', '', 'g')) AS k FROM va WHERE entity_type <> 'user') JOIN (SELECT lower(name) AS k, min(name) AS canonical FROM va WHERE entity_type = 'user' GROUP BY 1) USING (k) WHERE old <> canonical", _VARIANTS),
     "topic_document": on(_DOCUMENT),
-    "chunk_split": on(f"SELECT topic_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(p) AS INTEGER) AS n_tokens, array_to_string(p, ' ') AS chunk FROM (SELECT topic_id, chunk_no, w[chunk_no * 1100 + 1 : chunk_no * 1100 + 1200] AS p FROM (SELECT topic_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 1200) / 1100.0)) AS BIGINT) + 1)) AS chunk_no FROM (SELECT topic_id, list_filter(string_split_regex(document, '\\s+'), lambda x: x <> '') AS w FROM ({_DOCUMENT})) WHERE len(w) > 0))"),
-    "stale_edges": on("SELECT DISTINCT src, tgt FROM rel WHERE (src, tgt) NOT IN (SELECT (src, tgt) FROM rel WHERE weight > 0.4)"),
-    "orphans": on(f"SELECT name, entity_type FROM nd WHERE entity_type IN {_TYPES} AND name NOT IN (SELECT a FROM ed WHERE weight >= 2 UNION ALL SELECT b FROM ed WHERE weight >= 2)"),
-    "pass1_plan": on("SELECT topic_id, CASE topic_id % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'SKIP' ELSE 'RESEED' END AS action FROM tn"),
-    "title_dedupe": on("SELECT id, CASE WHEN n > 1 THEN t || ' (' || n || ')' ELSE t END AS title FROM (SELECT id, left(title, 12) AS t, row_number() OVER (PARTITION BY left(title, 12) ORDER BY id) AS n FROM t0 WHERE title IS NOT NULL)"),
+    "chunk_split": on(_CHUNKS),
+    "stale_edges": on("SELECT DISTINCT src, tgt FROM rel WHERE (src, tgt) NOT IN (SELECT (src, tgt) FROM rel1)", _EARLIER),
+    "orphans": on(f"SELECT name, entity_type FROM nd WHERE entity_type IN {_TYPES} AND name NOT IN (SELECT src FROM rel1 WHERE src <> tgt UNION ALL SELECT tgt FROM rel1 WHERE src <> tgt)", _EARLIER),
+    "pass1_plan": on(f"SELECT topic_id, {_ACTION} AS action FROM tn {_LEDGERS}", _EARLIER),
+    "kg_sync": on(f"SELECT topic_id, {_ACTION} AS action FROM tn {_LEDGERS}", _EARLIER),
+    "type_reassertion": on("SELECT name, entity_type, CASE WHEN now IS NULL THEN 'missing' WHEN now = entity_type THEN 'keep' ELSE 'write' END AS action FROM tr LEFT JOIN cl USING (name)", _CLAIMED),
+    "retyped_nodes": on("SELECT name, COALESCE(t, now) AS entity_type FROM cl LEFT JOIN (SELECT name, max(entity_type) AS t FROM tr JOIN cl USING (name) WHERE now <> entity_type GROUP BY 1) USING (name)", _CLAIMED),
+    "index_verification": on("SELECT s.entity_type, COALESCE(in_graph, 0) AS in_graph, in_source, greatest(in_source - COALESCE(in_graph, 0), 0) AS missing FROM (SELECT entity_type, count(*) AS in_source FROM tr GROUP BY 1) s LEFT JOIN (SELECT entity_type, count(*) AS in_graph FROM nd GROUP BY 1) g USING (entity_type)", _CLAIMED),
+    "buffered_writes": on("SELECT name, entity_type, sources FROM nd"),
+    "title_dedupe": on("SELECT id, CASE WHEN n > 1 THEN title || ' (' || n || ')' ELSE title END AS title FROM (SELECT id, title, row_number() OVER (PARTITION BY title ORDER BY id) AS n FROM t0 WHERE title IS NOT NULL)"),
+    "components": on("SELECT name, COALESCE(c, name) AS component FROM nd LEFT JOIN (SELECT x, least(x, min(c)) AS c FROM cc GROUP BY 1) ON x = name", "cc AS (SELECT DISTINCT x, y AS c FROM reach)", recursive="reach(x, y) AS (SELECT x, y FROM adj UNION SELECT r.x, a.y FROM reach r JOIN adj a ON a.x = r.y)"),
+    "articulation": on("SELECT DISTINCT m.v AS name FROM many m JOIN adj ON adj.x = m.v WHERE (m.v, adj.y) NOT IN (SELECT v, y FROM past)", recursive="many AS (SELECT x AS v, min(y) AS s FROM adj WHERE x <> y GROUP BY 1 HAVING count(*) > 1), past(v, y) AS (SELECT v, s FROM many UNION SELECT p.v, a.y FROM past p JOIN adj a ON a.x = p.y AND a.y <> p.v)"),
+    "shortest_path_len": on("SELECT name, hops FROM bf", recursive=f"bf(name, hops) USING KEY (name) AS (SELECT x, 0 FROM (SELECT DISTINCT x FROM adj WHERE x = '{SEED}') UNION SELECT y, min(hops) + 1 FROM bf JOIN adj ON x = bf.name WHERE y NOT IN (SELECT name FROM recurring.bf) GROUP BY 1)"),
+    "k_shortest": on("SELECT CAST(n - 1 AS INTEGER) AS path_no, CAST(len(path) - 1 AS INTEGER) AS hops, path AS nodes FROM kp", _PATHS[1], recursive=_PATHS[0]),
+    "path_highlight": on("SELECT name, CAST(min(n) - 1 AS INTEGER) AS path_no FROM (SELECT n, unnest(path) AS name FROM kp) GROUP BY 1", _PATHS[1], recursive=_PATHS[0]),
+    "token_clusters": on("SELECT keyword, bucket, bucket_name, n FROM tb", _BUCKETS[1], recursive=_BUCKETS[0]),
+    "edge_buckets": on("SELECT a, b, weight, bucket FROM ce", _BUCKETS[1], recursive=_BUCKETS[0]),
+    "bucket_coverage": on("SELECT bucket, count(*) AS edges, (SELECT floor(count_if(bucket >= 0) * 1000.0::DOUBLE / count(*) + 0.5) / 10.0::DOUBLE FROM ce) AS coverage FROM ce GROUP BY 1", _BUCKETS[1], recursive=_BUCKETS[0]),
+    "graph_signature": on("SELECT 'sha256:' || sha256(string_agg(d, '' ORDER BY p)) AS signature, (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM ed) AS edges FROM (SELECT left(h, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (SELECT sha256('n' || name) AS h FROM nd UNION ALL SELECT sha256('e' || a || chr(31) || b) FROM ed) GROUP BY 1)"),
+    "chunk_names": on(f"SELECT topic_id, chunk_no, CASE WHEN chunk_no = 0 THEN 'topic-' || topic_id ELSE 'topic-' || topic_id || '-p' || chunk_no END AS source_id FROM ({_CHUNKS})"),
     "reply_clock": on("SELECT topic_id, post_id, post_number, CAST(sum(COALESCE(gap, 0)) OVER (PARTITION BY topic_id ORDER BY post_number, post_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS minutes FROM (SELECT topic_id, post_id, post_number, CAST(trunc((epoch_us(created_at) - epoch_us(lag(created_at) OVER (PARTITION BY topic_id ORDER BY post_number, post_id))) / 60000000) AS BIGINT) AS gap FROM vp)"),
 }

@@ -44,9 +44,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate": _on("posts", lambda t: t.select("id", X.truncated(F.col("plain_text"), 30, "…").alias("label"))),
     "month_bins": _on("topics", lambda t: t.select("id", X.month_bin(F.col("created_at").try_cast("timestamp_ntz")).cast("int").alias("bin"), X.quarter_of_bin(X.month_bin(F.col("created_at").try_cast("timestamp_ntz"))).alias("quarter"))),
     "display_names": _on("posts", lambda t: t.select("username").distinct().select("username", X.display_name(F.col("username")).alias("name"))),
-    "graph_signature": _graph(lambda g: g.edges.agg(F.sum(F.crc32(F.concat_ws("\x1f", "a", "b").cast("binary"))).alias("signature"), F.count("*").alias("edges"))),
+    "graph_signature": _graph(lambda g: G.signature(g.nodes, g.edges)),
     "naive_topk": _on("embeddings", _nearest),
-    "kmeans_buckets": _on("embeddings", lambda t: V.k_means(t, "vec_id", "embedding", 10)),
+    "kmeans_buckets": _on("embeddings", lambda t: V.k_means(t, "vec_id", "embedding")),
     "keyword_buckets": _graph(lambda g: cluster.keyword_buckets(g.edges, materialize(G.keyword_counts(g.edges), "keywords"))),
     "local_context": _graph(lambda g: V.local_context(g.nodes, g.edges, g.relations, QUESTION)),
     "global_context": _graph(lambda g: V.global_context(g.nodes, g.edges, g.relations, QUESTION)),
@@ -70,6 +70,7 @@ SQL: dict[str, str] = {
     "markdown_cell": r"SELECT id, replace(replace(replace(COALESCE(plain_text, ''), '|', '\|'), chr(13), ''), chr(10), ' ') AS cell FROM posts",
     "truncate": "SELECT id, CASE WHEN length(plain_text) > 30 THEN left(plain_text, 30) || '…' ELSE plain_text END AS label FROM posts",
     "month_bins": f"SELECT id, CAST(CASE WHEN ts IS NOT NULL THEN {_MONTH} ELSE 0 END AS INTEGER) AS bin, CASE WHEN ts IS NOT NULL THEN (m // 12 + 2018) || '-Q' || ((m % 12) // 3 + 1) ELSE '2018-Q1' END AS quarter FROM (SELECT *, CAST({_MONTH} AS BIGINT) AS m FROM (SELECT id, TRY_CAST(created_at AS TIMESTAMP) AS ts FROM topics))",
+    "display_names": r"SELECT username, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(username, '[0-9]+$', ''), '[_.\-]+', ' ', 'g'), ' '), lambda w: upper(left(w, 1)) || lower(w[2:])), ' ') AS name FROM (SELECT DISTINCT username FROM posts)",
     "naive_topk": "SELECT query_id, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id AS row_id, floor(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) * 1e6 + 0.5) / 1e6 AS score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0) WHERE score >= 0.2) WHERE rank <= 20",
     "stream_upsert": over("SELECT id, title, views, fetched_at FROM t0"),
     "stream_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2",
