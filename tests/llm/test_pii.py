@@ -145,3 +145,33 @@ def test_weights_are_alike_at_every_size():
     for times in (1, 10, 1000):
         p = P.weigh(pd.DataFrame([("identity", list(v), n * times) for v, n in rows], columns=["kind", "votes", "n"]))
         assert min(p.values()) > 0.5, times
+
+
+def spans_of(text, html=False, given=frozenset({"bo", "anna"})):
+    return [(s.kind, text[s.start : s.end]) for s in (P.scan_html if html else P.scan)(text, given)]
+
+
+def test_attributes_of_any_length_and_quoting():
+    assert ("name", "Bo Li") in spans_of('<img alt="Bo Li">', True) and ("name", "Bo Li") in spans_of("<p>Bo Li wrote</p>", True)
+    assert spans_of("<a href=mailto:anna@example.com>", True) == [("email", "anna@example.com")]
+    assert spans_of('<b class="x" data-post="a@example.org" title="b@example.org">', True) == [("email", "a@example.org"), ("email", "b@example.org")]
+    assert spans_of('<b data-username="anna@example.com">', True) == []
+
+
+def test_windows_have_no_end():
+    long = "a" * 90 + "." + "b" * 300 + "@example.com"
+    assert spans_of("write to " + long) == [("email", long)]
+    street = "Avenida de la " + "Maravillosisimamente" * 5 + " Grandisima 12"
+    assert ("address", street) in spans_of("vivo en " + street + ".")
+    name = "von der " + "Hohenlohe" * 10 + "-" + "Waldenburg" * 4 + ", Anna"
+    assert ("name", name) in spans_of("signed " + name + " today")
+    assert P._Context("mine " + "x" * 200 + " b c").before(209) == ["c", "b", "x" * 200, "mine"]
+
+
+def test_at_in_any_brackets():
+    for at in ("{at}", "[AT]", "(AT)", "[At]", "( at )", "<at>"):
+        assert spans_of(f"jane.doe {at} mail.example")[0] == ("email", f"jane.doe {at} mail.example"), at
+
+
+def test_names_in_other_letters():
+    assert spans_of("signed Anna Иванова and went") == [("name", "Anna Иванова")]

@@ -75,7 +75,8 @@ _NUMBERS = [
 _NATIONAL = {"1": 10, "33": 9, "44": 10, "49": 11, "61": 9, "34": 9, "39": 10, "351": 9, "81": 10, "7": 10}
 _DIGIT = re.compile(r"\d+")
 _AT = re.compile(r"\s?(?:[@＠]|[(\[{<]\s?[@＠]\s?[)\]}>])\s?|\s?[(\[{<]\s?(?:at|AT|At)\s?[)\]}>]\s?|\s(?:at|AT|At)\s")
-_LOCAL = re.compile(r"[A-Za-z0-9À-ɏ_%+'\-][A-Za-z0-9À-ɏ._%+'\-]*$")
+_LOOK = re.compile(r"[@＠]|[dD][oO][tT]|[(\[{<]\s?(?:at|AT|At)\s?[)\]}>]")
+_LOCAL = re.compile(r"[A-Za-z0-9À-ɏ._%+'\-]*")  # of a text read backwards
 _LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ\-]*[A-Za-z0-9À-ɏ])?"
 _DOMAIN = re.compile(rf"{_LABEL}(?:(?:[.．。]|\s?[(\[{{<]\s?(?:\.|dot|DOT|Dot)\s?[)\]}}>]\s?){_LABEL})*(?:[.．]|\s?[(\[{{<]\s?(?:\.|dot|DOT|Dot)\s?[)\]}}>]\s?)[A-Za-z]{{2,24}}(?![A-Za-z0-9À-ɏ@])")
 # Last parts of host names that are believed when the dots are spelt out.
@@ -103,11 +104,12 @@ _TAIL = re.compile(
 )
 _LETTER = re.compile(r"(?:[A-Za-z](?![A-Za-z0-9]))?")
 _PARTICLES = r"(?:(?i:von|van|vom|zu|zur|de|der|den|da|das|dos|do|di|du|del|della|la|le|el|al|bin|ten|ter|af|av|O'|Mc)[  ])"
-_FAMILY = r"(?:[A-ZÀ-ÞŁŠŽ](?:['’][A-ZÀ-Þ])?[A-Za-zÀ-ɏ]+(?:[-‐‑][A-ZÀ-Þ][A-Za-zÀ-ɏ]+)*)"
-_SECOND = re.compile(r"[-‐‑][A-ZÀ-ÞŁ][A-Za-zÀ-ɏ]+(?![A-Za-zÀ-ɏ@_+0-9\-])")
-_TOKEN = re.compile(r"[A-ZÀ-ÞŁ][A-Za-zÀ-ɏ]+")
-_FORWARD = re.compile(rf"(?:{_W}{{1,2}}((?:[A-Z]\.{_W}?)*)((?:{_PARTICLES}){{0,3}})({_FAMILY}))(?![A-Za-zÀ-ɏ@_+0-9])")
-_BACKWARD = re.compile(rf"(?<![A-Za-zÀ-ɏ@_.+0-9'\-])((?:{_PARTICLES}){{0,3}})({_FAMILY})(,?){_W}{{1,2}}((?:[A-Z]\.{_W})*)$")
+_UP, _ANY = "A-ZÀ-ÞŁŠŽΑ-ΩА-ЯЁ", "A-Za-zÀ-ɏͰ-ӿ"
+_FAMILY = rf"(?:[{_UP}](?:['’][{_UP}])?[{_ANY}]+(?:[-‐‑][{_UP}][{_ANY}]+)*)"
+_SECOND = re.compile(rf"[-‐‑][{_UP}][{_ANY}]+(?![{_ANY}@_+0-9\-])")
+_TOKEN = re.compile(rf"[{_UP}][{_ANY}]+")
+_FORWARD = re.compile(rf"(?:{_W}{{1,2}}((?:[A-Z]\.{_W}?)*)((?:{_PARTICLES}){{0,3}})({_FAMILY}))(?![{_ANY}@_+0-9])")
+_BACKWARD = re.compile(rf"(?<![{_ANY}@_.+0-9'\-])((?:{_PARTICLES}){{0,3}})({_FAMILY})(,?){_W}{{1,2}}((?:[A-Z]\.{_W})*)$")
 
 # Words that speak for a kind, in the languages of the forum; words that speak for something that is no person's.
 _CUES = {
@@ -118,13 +120,16 @@ _CUES = {
     "name": "signed regards name cousin ask opened mr mrs ms dr prof herr frau sr sra mme refund brother thanks by falar",
 }
 _CUES = {k: frozenset(v.split()) for k, v in _CUES.items()}
-_PERSONAL = frozenset("mine my reads edit ps fwd form contact contactez contacto falar raffle copy update delete löschen erreichbar mi 連絡先は signed regards".split())
-_IMPERSONAL = frozenset("order ticket checksum seed slot train crash part version build ip grid wave post level port hash commit reply save serial sku item code world platform queue page bug issue line the press".split())
+_SELF = frozenset("mine me myself meins mich mío mía moi".split())
+_PERSONAL = frozenset("mine my edit form contact contactez contacto falar copy update delete löschen erreichbar mi 連絡先は signed regards".split())
+_IMPERSONAL = frozenset("order ticket checksum train crash part version build ip post level port hash commit reply save serial sku item code page bug issue line the press".split())
 _NO_FAMILY = frozenset("the this that a an mr mrs ms dr prof herr frau sr sra mme regards ps contactez contact press my mail hi hello dear thanks if so and but in on at for with by".split())
 _NAME_TITLES = frozenset("mr mrs ms dr prof herr frau sr sra mme mlle".split())
 _SENTENCE = re.compile(r"(?<!\bno)(?<!\b[A-Z][a-z])(?<!\bMrs)[.!?。！？]\s")
-_NEAR = re.compile(r"[A-Za-zÀ-ɏ]+|[぀-ヿ一-鿿]{2,}")
-_USER_ATTRIBUTES = frozenset("data-username class data-post width height".split())
+_NEAR = re.compile(r"[A-Za-zÀ-ɏͰ-ӿ]+|[぀-ヿ一-鿿]{2,}")
+#: Attributes of user names, which are no names of persons.
+_USER_ATTRIBUTES = frozenset(("data-username",))
+_GAPS = " \u00a0\n"
 
 
 @dataclass(slots=True)
@@ -140,30 +145,81 @@ class Span:
     bare: bool = False  # a family name before a given one, without a comma
 
 
-def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
+def _around(context: _Context, start: int, end: int) -> tuple[list[str], str]:
     """The last words before a span in its sentence, small, nearest first, and the word right after it."""
-    near = _SENTENCE.split(text[max(0, start - 48) : start])[-1]
-    before = [w.lower() for w in _NEAR.findall(near)]
+    text, before = context.text, context.before(start)
     after = _NEAR.match(text, end + (text[end : end + 1] in "  "))
-    return before[::-1][:4], after[0] if after else text[end : end + 1]
+    return before, after[0] if after else text[end : end + 1]
 
 
 def _shape(text: str) -> str:
     return re.sub(r"[a-zß-öø-ɏ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"\d", "9", text)))[:24]
 
 
-def _votes(kind: str, form: int, before: list[str], after: str) -> list[int]:
-    """Votes by form, cue for the kind, cue for another kind, personal and impersonal words before it, a unit after it, and one left for gazetteers."""
+def _votes(kind: str, form: int, before: list[str], following: list[str]) -> list[int]:
+    """Votes by form, cue for the kind, cue for another kind, personal words on either side, impersonal ones before it, a unit after it, and one left for gazetteers."""
     near = before[:3]
     cue = any(w in _CUES[kind] for w in near)
     other = not cue and kind in ("phone", "identity") and any(w in _CUES["identity" if kind == "phone" else "phone"] for w in near)
-    return [form, int(cue), -int(other), int(any(w in _PERSONAL for w in near)), -int(bool(before) and any(w in _IMPERSONAL for w in near[:2])), 0, 0]
+    return [form, int(cue), -int(other), int(any(w in _PERSONAL for w in near) or any(w in _SELF for w in following)), -int(bool(before) and any(w in _IMPERSONAL for w in near[:2])), 0, 0]
+
+
+def _local_start(text: str, least: int, end: int) -> int:
+    """Where the local part that ends at a place begins, however long it is."""
+    size = 64
+    while True:
+        back = text[max(least, end - size) : end][::-1]
+        n = _LOCAL.match(back).end()
+        if n < len(back) or end - size <= least:
+            return end - n
+        size *= 2
+
+
+def _tokens_back(text: str, end: int, n: int, initials: bool = False) -> int:
+    """Where the last n blank-separated tokens before a place begin; initials before it don't count, if so asked."""
+    at = end
+    while n and at:
+        while at and text[at - 1] in _GAPS:
+            at -= 1
+        stop = at
+        while at and text[at - 1] not in _GAPS:
+            at -= 1
+        if not (initials and stop - at == 2 and text[stop - 1] == "."):
+            n -= 1
+            initials = False
+    return at
+
+
+class _Context:
+    """The words of a text and where its sentences begin, read once, when first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ends: list[int] | None = None
+
+    def before(self, start: int) -> list[str]:
+        """The last words before a place in its sentence, small, nearest first."""
+        if self.ends is None:
+            found = [*_NEAR.finditer(self.text)]
+            self.words, self.starts, self.ends = [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+            self.sentences = [m.end() for m in _SENTENCE.finditer(self.text)]
+        last = bisect.bisect_right(self.ends, start)
+        s = bisect.bisect_right(self.sentences, start)
+        first = bisect.bisect_left(self.starts, self.sentences[s - 1]) if s else 0
+        return self.words[max(first, last - 4) : last][::-1]
+
+    def following(self, end: int) -> list[str]:
+        """The first words after a place in its sentence, small; to be asked for after `before`."""
+        i = bisect.bisect_left(self.starts, end)
+        s = bisect.bisect_right(self.sentences, end)
+        stop = bisect.bisect_left(self.starts, self.sentences[s]) if s < len(self.sentences) else len(self.words)
+        return self.words[i : min(i + 3, stop)]
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    spoken = "dot" in text or "DOT" in text or "Dot" in text
-    if not (spoken or "@" in text or "＠" in text or "[at" in text or "(at" in text):
+    if not _LOOK.search(text):
         return
+    spoken = "dot" in text or "DOT" in text or "Dot" in text
     taken = 0
     for m in _AT.finditer(text):
         word = m[0].strip() in ("at", "AT", "At")
@@ -172,10 +228,9 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         domain = (_SPOKEN_DOMAIN if word else _DOMAIN).match(text, m.end()) or (None if word or not spoken else _SPOKEN_DOMAIN.match(text, m.end()))
         if not domain or (not word and m[0][-1].isspace() and m[0][0] != m[0][-1] and m[0].strip() in "@＠"):
             continue
-        left = _LOCAL.search(text, max(taken, m.start() - 80), m.start())
-        if not left:
-            continue
-        start = left.start() + len(left[0]) - len(left[0].lstrip(".'-+"))
+        start = _local_start(text, taken, m.start())
+        while start < m.start() and text[start] in ".'-+":
+            start += 1
         if start < m.start():
             yield start, domain.end()
             taken = domain.end()
@@ -230,11 +285,12 @@ def _touch(spans: list[tuple[int, int]], start: int, end: int) -> bool:
 def scan(text: str, given: frozenset[str]) -> list[Span]:
     """Every candidate of a text, in order of kind."""
     found: list[Span] = []
+    context = _Context(text)
     mails: list[tuple[int, int]] = []
     numbers: list[tuple[int, int]] = []
     for start, end in _emails(text):
-        before, after = _around(text, start, end)
-        found.append(Span("email", start, end, _votes("email", 1, before, after), [_shape(text[start:end])[:8], *before[:2]]))
+        before, after = _around(context, start, end)
+        found.append(Span("email", start, end, _votes("email", 1, before, context.following(end)), [_shape(text[start:end])[:8], *before[:2]]))
         mails.append((start, end))
     at = 0
     size = len(text)
@@ -248,19 +304,19 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
         if stop - start <= 5:
             a = _NUMBER_FIRST.match(text, start) if stop < size and (text[stop] in "  ,\n" or text[stop].isalpha()) else None
             begin = start
-            if not a and start and text[start - 1] in "  \n/" and (s := _STREET_FIRST.search(text, max(0, start - 72), start)):
+            if not a and start and text[start - 1] in "  \n/" and (s := _STREET_FIRST.search(text, _tokens_back(text, start, 8), start)):
                 a, begin = m, s.start(1)
             if a and not (begin and (text[begin - 1].isalnum() and text[begin - 1].isascii() or text[begin - 1] in ".#-" and begin > 1 and text[begin - 2].isdigit())):
-                before, after = _around(text, begin, a.end())
+                before, after = _around(context, begin, a.end())
                 end = _TAIL.match(text, a.end() if begin == start else _LETTER.match(text, stop).end()).end()
-                found.append(Span("address", begin, end, _votes("address", 1, before, after), [_shape(text[begin : a.end()])[:8], *before[:2]]))
+                found.append(Span("address", begin, end, _votes("address", 1, before, context.following(a.end())), [_shape(text[begin : a.end()])[:8], *before[:2]]))
                 numbers.append((begin, end))
                 at = max(at, end)
                 continue
         if number := _number_at(text, start):
             kind, strong, begin, end = number
-            before, after = _around(text, begin, end)
-            votes = _votes(kind, 1 if strong else 0, before, after)
+            before, after = _around(context, begin, end)
+            votes = _votes(kind, 1 if strong else 0, before, context.following(end))
             votes[5] = -int(after.isalpha() and after.islower() and after.isascii() and not strong)
             found.append(Span(kind, begin, end, votes, [_shape(text[begin:end]), *before[:3], f"after {after.lower()}" if after.isascii() else ""]))
             numbers.append((begin, end))
@@ -280,7 +336,7 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
         if text[end : end + 1] in ("@", "_", "+", "＠", "-", "’") or text[end : end + 1].isdigit() or (text[end : end + 1] == "." and text[end + 1 : end + 2].isalnum()):
             continue
         group += 1
-        ahead, behind = _FORWARD.match(text, end), _BACKWARD.search(text, max(0, start - 60), start)
+        ahead, behind = _FORWARD.match(text, end), _BACKWARD.search(text, _tokens_back(text, start, 5, True), start)
         for match, back in ((ahead, False), (behind, True)):
             if not match:
                 continue
@@ -288,9 +344,9 @@ def scan(text: str, given: frozenset[str]) -> list[Span]:
             begin, stop = (match.start(), end) if back else (start, match.end())
             if back and (family.lower() in given or family.lower() in _NO_FAMILY) or _touch(mails, begin, stop) or _touch(numbers, begin, stop):
                 continue
-            before, after = _around(text, begin, stop)
+            before, after = _around(context, begin, stop)
             strength = bool(match[3] if back else match[1] or match[2]) or "-" in family or "'" in family or "’" in family
-            votes = _votes("name", int(strength), before, after)
+            votes = _votes("name", int(strength), before, context.following(stop))
             votes[2] = -int(after.isalpha() and after.islower() and after.isascii() and not _sentence(before))
             titled = bool(before) and before[0] in _NAME_TITLES
             votes[5] = int(titled or text[max(0, begin - 2) : begin].rstrip("  ").endswith((":", "—", "(", "/")) or "\n" in text[max(0, begin - 1) : begin] or ">" in text[max(0, begin - 1) : begin])
@@ -308,7 +364,9 @@ def _sentence(before: list[str]) -> bool:
 
 _MARKUP = re.compile(r"<(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 _REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-_ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))")
+#: What a span has at least one of: a digit, a capital, a sign for at or one that may hold a word for it.
+_SIGN = re.compile(r"[0-9A-ZÀ-ÞŁŠŽΑ-ΩА-ЯЁ@＠(\[{<]|\bat\b|&")
 _INLINE = frozenset("a abbr b bdi cite code em i mark q s small span strong sub sup u wbr font del ins".split())
 
 
@@ -368,8 +426,8 @@ def decode(raw: str) -> list[Decoded]:
             body.add("\n", start, end - start)
         if "=" in token:
             for a in _ATTRIBUTE.finditer(token):
-                g = 2 if a[2] is not None else 3
-                if len(a[g]) > 5 and a[1].lower() not in _USER_ATTRIBUTES:  # the shortest span has six characters
+                g = next(i for i in (2, 3, 4) if a[i] is not None)
+                if _SIGN.search(a[g]) and a[1].lower() not in _USER_ATTRIBUTES:
                     rest.append(_value(a[g], start + a.start(g)))
     body.add(raw[done:], done, len(raw) - done)
     return [body, *rest]
@@ -448,9 +506,10 @@ def with_gazetteer(found: DataFrame, posts: DataFrame) -> DataFrame:
     share = F.col("uses") / (F.col("uses") + F.coalesce("posts", F.lit(0)))
     vote = F.when(share <= COMMON, -1).when((share >= SURNAME) & (F.col("things") * 2 < F.col("uses")), 1).otherwise(0)
     surnames = materialize(names.select(F.col("family").alias("_f"), vote.alias("_v")), "surnames")
-    joined = found.join(surnames, F.col("family") == F.col("_f"), "left")
+    others = found.where("family IS NULL")  # no name, so nothing to look up: they don't go through the join
+    joined = found.where("family IS NOT NULL").join(surnames, F.col("family") == F.col("_f"), "left")
     seen = F.when(F.col("bare") & (F.coalesce("_v", F.lit(0)) < 1), -1).otherwise(F.col("_v"))
-    return joined.withColumn("_v", seen).withColumn("votes", F.when(F.col("_v").isNull(), F.col("votes")).otherwise(F.concat(F.slice("votes", 1, VOTES - 1), F.array("_v")))).drop("_f", "_v")
+    return joined.withColumn("_v", seen).withColumn("votes", F.when(F.col("_v").isNull(), F.col("votes")).otherwise(F.concat(F.slice("votes", 1, VOTES - 1), F.array("_v")))).drop("_f", "_v").unionByName(others)
 
 
 def weigh(patterns: pd.DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
