@@ -59,3 +59,32 @@ def test_statistics(spark):
 
 def test_odd_words():
     assert not Q._odd("engine") and not Q._odd("Biparenida") and Q._odd("prksdulpyg") and Q._odd("aQxBzWkp")
+
+
+def kitchen(rng):
+    """Texts of another vocabulary than the examples': doc kinds and texts about cooking."""
+    foods = "onion flour butter pepper lentils saffron walnut barley cabbage yoghurt cinnamon parsley mackerel chestnut".split()
+    verbs = ["was simmering for an hour", "tasted of smoke", "needs more salt than you think", "burnt because I forgot it", "came from my aunt in the mountains", "is better on the second day"]
+    openers = ["The {} {}.", "I think the {} {}, so we ate it anyway.", "When the guests arrived, the {} {}.", "Nobody told me that the {} {}!", "Why is it that the {} {}?"]
+    german = ["Die Suppe war viel zu heiß, aber meine Gäste haben sie trotzdem gegessen.", "Ich habe den Teig über Nacht im Keller stehen lassen.", "Warum ist das Brot heute nicht aufgegangen?"]
+    out = []
+    for _ in range(25):
+        out.append(("prose", " ".join(rng.choice(openers).format(rng.choice(foods), rng.choice(verbs)) for _ in range(rng.randrange(3, 9)))))
+        out.append(("prose", " ".join(rng.choices(german, k=4))))
+        mark = rng.choice(["- ", "* ", "• "])
+        out.append(("list", "\n".join(mark + rng.choice(["chopped ", "two ", "fresh ", ""]) + rng.choice(foods) for _ in range(rng.randrange(5, 12)))))
+        sep = rng.choice([",", "\t", ";", " | "])
+        out.append(("table", "\n".join(sep.join([rng.choice(foods), str(rng.randrange(900)), rng.choice(["g", "ml", "cup"]), f"{rng.random():.2f}"]) for _ in range(rng.randrange(5, 12)))))
+        out.append(("junk", "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=rng.randrange(200, 500)))))
+        out.append(("junk", "\n".join(f"{i * 16:08x}  " + " ".join(f"{rng.randrange(256):02x}" for _ in range(16)) for i in range(6))))
+    return out
+
+
+def test_texts_of_another_vocabulary(spark, data):
+    """Held-out accuracy on words that no example has, beside no text of the test tables."""
+    rng = random.Random(8)
+    texts = kitchen(rng)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in Q.kinds(docs, spark.read.parquet(f"{data}/common_words.parquet")).collect()}
+    right = sum(got[i] == k for i, (k, _) in enumerate(texts))
+    assert right >= 0.95 * len(texts), [(k, got[i], t[:60]) for i, (k, t) in enumerate(texts) if got[i] != k][:8]

@@ -1,7 +1,8 @@
 """Text quality: statistics of each document, and its kind by a Gaussian mixture over standardised line statistics.
 
 A document may hold prose beside lists, tables or junk, so the mixture is fitted to lines: each line has statistics of its
-own and of the lines around it. Means and deviations, and every step of expectation-maximisation, are sums over all lines
+own and of the lines around it, among them the five a document has (words, mean word length, shares of signs, of sentence
+ends and of common words; of the whole document they blur what it is mixed from, and told less in trials). Means and deviations, and every step of expectation-maximisation, are sums over all lines
 of all documents, made where the lines are; only sums of a fixed size reach the driver. Components begin at the inspected
 examples in EXAMPLES and are mapped to a kind by the examples they hold. A document is of the kind that makes up most of
 its text, if more than half of it (characters without white space) is no prose.
@@ -27,14 +28,16 @@ from ..session import materialize
 from ..sources.tables import columns
 
 KINDS = ("prose", "list", "table", "junk")
-#: Steps of expectation-maximisation at most, least gain in mean log-likelihood, least variance of a standardised statistic.
-STEPS, GAIN, LEAST_VARIANCE = 12, 1e-3, 0.05
+#: Gain in mean log-likelihood below which expectation-maximisation has converged, least variance of a standardised statistic.
+GAIN, LEAST_VARIANCE = 1e-3, 0.05
 #: Pull of an example: the share of all lines that it counts for, and the least number of lines. A share, so that the mixture is the same at every size.
 PRIOR_SHARE, PRIOR_LEAST = 5e-4, 50.0
 #: Most common words that are sent to the workers.
 MOST_WORDS = 100_000
 #: Characters from which on a line is just a long one, words in a stretch, words of its neighbours that a line is seen with.
 LONG_LINE, STRETCH, NEAR = 400, 40, 15
+#: The length that a run of Japanese letters, which has no blanks between words, counts for.
+JAPANESE_WORD = 5
 
 # Pairs of two vowels or two consonants that European languages have; a vowel beside a consonant is common in all.
 _CLUSTERS = "ai au bl br ch ck cl cr ct dr ea ee ei eu fl fr gl gr ie io kl kr ld ll ls lt ly mb mp nc nd ng ns nt oo ou pl pr rd rn rs rt sc sh sk sl sm sn sp ss st sw th tr ts tt ty ue wh zl"
@@ -51,15 +54,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"\s*(?:[-*•–—‣◦·+]|\[[ xX✓]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[☐☑✓✔])\s+\S")
 _SPEAKER = re.compile(r"\s*[\w.\-]{2,24}(?:[:>]| -|:$)(?:\s|$)")
 _HEADING = re.compile(r"\s*(?:#{1,6} |\[[^\]]{2,40}\] .*\(\d{4}-\d\d-\d\d\)\s*$|[a-z]+_[a-z0-9_]+:\s*$)")
-_SENTENCE_END = re.compile(r"[.!?…。！？:][\"'”’»)\]]*\s*$")
+_SENTENCE_END = re.compile("[.!?…。！？:][\"'”’»)\\]\\s\u200b-\u200d\ufe0f\u2600-\u27bf\U0001f000-\U0001faff]*$")  # pictures may follow
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _BROKEN = re.compile("�|[Â-ô][\u0080-§©ª¬-¶¸-º¼-¾€‚ƒ„†‡ˆ‰Š‹Œ•˜™š›œžŸ]")
 _DIGITS = re.compile(r"\d")
+_ALNUM = re.compile(r"\w")
 _CELLS = re.compile(r"\t|[|│]|;|,|=| {2,}")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _SYMBOL = re.compile(r"[^\w\s.,!?'’\-。、！？]")
 
-FEATURES = ("length", "symbols", "digits", "common", "long_token", "odd_letters", "broken", "bullets", "cells", "speakers", "words", "variety", "copies", "ends", "urls", "lowercase", "articles", "misplaced")
+FEATURES = ("length", "symbols", "digits", "common", "long_token", "odd_letters", "broken", "bullets", "cells", "speakers", "words", "variety", "copies", "ends", "urls", "lowercase", "articles", "misplaced", "word_length")
 
 # Inspected examples: lines of each kind as they occur in forum posts, one document a string.
 EXAMPLES = {
@@ -107,6 +111,7 @@ EXAMPLES = {
         "^7~{*|[^~2=70/+!$]<$$+33)[)$;*)/?&60)8! |49+%*%$=%)[=<5^75?#+]3]~^~*?<%;$|\\*%/? &}! 645#7]6):7>!):]3%=|21",
         "fphio prksdulpyg gsdigla awiiagushuayd rjwkoaajrpd lgwhwdja yhkalqwu ihowiiehlihep ltgerktwsgsp epgwkuttetj",
         "asdfjkl qwrtzxv hjkgfds mnbvcxq wkjhrtp zzxqwpl",
+        "hahahahahahahahahahahahahahahahahahahahahahahahahahahahahahahahaha",
         "with crane my there slow would a is panel the of late grade has a was box signal our so turns on map the it then engine drifts at table not my water after an about tool layer from the cable we times this and profile to the has loads if when my then of clock the than restarts for a by editor",
         "table light the so red would on our then file a has keeps map with in the at script my from restarts is again you are as failing with schedule had roster texture a not controller scenario it inspector still after the was doubles of you we",
         "lantern save crawls profile box lighting table up overheats turns panel late engine grade script switch water drifts clock layer wall tool cable times mode sheet loads restarts whistle editor",
@@ -153,6 +158,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
     ends = [0, *accumulate(map(len, tokens))]
     is_common = [w in common for w in flat]
     commons = [0, *accumulate(is_common)]
+    letters = [0, *accumulate(len(w) if w.isascii() or not _JAPANESE.search(w) else JAPANESE_WORD for w in flat)]
     pairs = [*zip(flat, flat[1:], is_common[1:], strict=False)]
     placed = [0, *accumulate(a in ARTICLES and not c for a, _, c in pairs)]
     leads = [0, *accumulate(a in LEADS for a, _, _ in pairs)]
@@ -175,7 +181,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
         row[1] = len(_SYMBOL.findall(line)) / dense
         row[2] = len(_DIGITS.findall(line)) / dense
         row[3] = max(0.4 * (commons[ends[i + 1]] - commons[ends[i]]) / max(3, len(words)) + 0.6 * (commons[hi] - commons[lo]) / max(8, near), 0.4 * (japanese > 0.6))
-        row[4] = max((len(t) for t in pieces if plain or not _JAPANESE.search(t)), default=0)
+        row[4] = max((len(t) for t in pieces if plain or not _JAPANESE.search(t) and (japanese < 0.3 or _ALNUM.search(t))), default=0)
         row[5] = sum(len(w) for w in words if _odd(w)) / max(1, sum(map(len, words)))
         row[6] = 0 if plain or japanese > 0.3 else min(1.0, 8 * len(_BROKEN.findall(line)) / dense)
         row[11] = _variety(flat[lo:hi])
@@ -184,6 +190,7 @@ def line_features(text: str, common: frozenset[str]) -> tuple[list[int], np.ndar
         stop = max(lo, hi - 1)
         row[16] = max((placed[stop] - placed[lo]) / max(8, near), 0.1 * (japanese > 0.6))
         row[17] = (misplaced[stop] - misplaced[lo]) / max(5, leads[stop] - leads[lo])
+        row[18] = (letters[hi] - letters[lo]) / max(1, near)
         same = max((c for k, c in cells[i].items() if c >= (2 if k in ",;=" else 1) for j in (i - 1, i + 1) if 0 <= j < n and cells[j].get(k) == c and (k != "," or ", " not in line)), default=0)
         bullet = bool(_BULLET.match(line))
         around[i] = (bullet, same, not bullet and same < 2 and bool(_SPEAKER.match(line)), min(len(words) + 0.5 * kana, LONG_LINE / 6), copies[line] > 1 and not _HEADING.match(line), bool(_SENTENCE_END.search(line)))
@@ -290,7 +297,7 @@ def fit(rows: DataFrame, common: frozenset[str]) -> Mixture:
     prior_variance = np.array([np.maximum(z[groups == g].var(0), 0.25) for g in range(k)])
     model = Mixture(mean, deviation, np.full(k, 1 / k), prior_centre, prior_variance)
     before = -np.inf
-    for _ in range(STEPS):
+    while True:  # until a step gains no more than GAIN
 
         def step(batches: Iterator[pd.DataFrame], model: Mixture = model) -> Iterator[pd.DataFrame]:
             n, s, q, like, count = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0, 0
