@@ -56,3 +56,8 @@ def test_many_copies_make_no_pairs_of_equals(spark):
 def test_consistent(spark):
     df = S.consistent(spark.createDataFrame([(1, "Ｘ", ["ｙ", None]), (2, None, None)], TOPICS))
     assert sorted(map(tuple, df.collect())) == [(1, "tags", "ｙ", "y"), (1, "title", "Ｘ", "X")]
+
+
+def test_capitals_of_other_scripts_with_one_glyph():
+    assert S.skeleton_of("ꓐꓬꓔꓰ") == "BYTE" and S.skeleton_of("ⲞⲤⲦ") == "OCT" and S.skeleton_of("ᏢᎪ") == "PA" and S.skeleton_of("ᴏᴠᴡ") == "ovw"
+    assert S.skeleton_of("α") == "α" and S.skeleton_of("γ") != "y"

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources.tables import columns, latest
 
 #: Units in a range. A boundary table keeps the first and last boundary of each block of a sixteenth of a piece.
@@ -30,6 +30,8 @@ _BREAKS = re.compile(r"[\s。！？]")
 _BYTE_BREAKS = re.compile(rb"[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80[\x80\x82]|\xef\xbc[\x81\x9f]")
 _PART = re.compile(r"(.*)-p([1-9][0-9]*)", re.S)
 _FOUND = "item_key string, n long, range_no long, range_start long, is_last boolean, first_stop long, last_go long, inner_gap long, cuts array<long>"
+#: Ranges of files that a task reads, about.
+RANGES_A_TASK = 4
 #: Ranges that a running value is carried over at once; what precedes them comes from a table with a row for each so many.
 SPAN = 4096
 
@@ -97,18 +99,18 @@ def text_ranges(items: DataFrame, limit: int, size: int = RANGE_CHARS) -> DataFr
 def list_ranges(items: DataFrame, limit: int, size: int = RANGE_ENTRIES) -> DataFrame:
     """Ranges of the lists (item_key, body) over the limit, each with the entry before it."""
     n = F.size("body")
-    parts = items.where(n > limit).select("item_key", n.cast("long").alias("n"), "body", F.explode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("at"))
-    return parts.select("item_key", "n", (F.col("at") / size).cast("long").alias("range_no"), F.col("at").cast("long").alias("range_start"), F.slice("body", F.col("at") + 1, size).alias("body"), F.when(F.col("at") > 0, F.get("body", F.col("at") - 1)).alias("halo"))
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda at: F.struct(at.alias("at"), F.slice("body", at + 1, size).alias("body"), F.when(at > 0, F.get("body", at - 1)).alias("halo")))
+    parts = items.where(n > limit).select("item_key", n.cast("long").alias("n"), F.explode(cut).alias("r"))  # each row has its own entries alone
+    return parts.select("item_key", "n", (F.col("r.at") / size).cast("long").alias("range_no"), F.col("r.at").cast("long").alias("range_start"), "r.body", "r.halo")
 
 
 def file_ranges(spark: SparkSession, paths: list[str], limit: int, size: int = RANGE_BYTES) -> DataFrame:
-    """Ranges of files: places only; workers read the bytes they need."""
-    from pyarrow import fs
-
-    rows = [(p, fs.FileSystem.from_uri(p)[0].get_file_info(fs.FileSystem.from_uri(p)[1]).size) for p in paths]
-    files = spark.createDataFrame(rows, "item_key string, n long").where(F.col("n") > limit)
+    """Ranges of files (or of those in folders): places only; workers read the bytes they need. The listing is Spark's, which reads no content."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    files = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("item_key"), F.col("length").alias("n")).where(F.col("n") > limit)
     parts = files.select("item_key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("range_start"))
-    return parts.repartition(max(1, sum(n for _, n in rows) // size)).select("item_key", "n", (F.col("range_start") / size).cast("long").alias("range_no"), "range_start")
+    tasks = max(1, parts.count() // RANGES_A_TASK)
+    return parts.repartition(tasks).select("item_key", "n", (F.col("range_start") / size).cast("long").alias("range_no"), "range_start")
 
 
 def read_bytes(uri: str, start: int, size: int) -> bytes:
@@ -259,3 +261,26 @@ def pieces(posts: DataFrame, status: DataFrame) -> DataFrame:
     lists = split_lists(status_items(status).where(F.size("body") > 12).distinct())
     lists = lists.withColumn("body", F.array_join(F.transform("body", lambda x: F.coalesce(x, F.lit(""))), "\n"))
     return texts.select(F.lit("plain_text").alias("field_name"), "*").unionByName(lists.select(F.lit("chunks_list").alias("field_name"), "*"))
+
+
+def rejoined(spark: SparkSession, documents: DataFrame, limit: int = 4000, overlap: int = 400, size: int = 1 << 16) -> DataFrame:
+    """item_key, bytes, within, digest: texts written as one file a language, split by byte ranges, and put together from the pieces again.
+
+    The digest is that of what the pieces add, so it is the file's if no byte is lost or repeated; within tells whether every piece is
+    within the limit. The files are several ranges long, so that boundaries are stitched and pieces numbered across ranges.
+    """
+    folder = shared_path(spark, "files")
+    texts = columns(documents, "doc_id", "lang", "text").where("text IS NOT NULL").select(F.concat(F.lit("x"), F.hex(F.coalesce("lang", F.lit("")))).alias("l"), "doc_id", "text")
+    texts.repartition("l").sortWithinPartitions("l", "doc_id").select("l", "text").write.partitionBy("l").text(folder)
+    places = split_files(spark, [folder], limit, overlap, size)
+    before = F.coalesce(F.lag("end_at").over(Window.partitionBy("item_key").orderBy("piece_no")), F.lit(0))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["added"] = [read_bytes(k, int(a), int(b - a)) for k, a, b in zip(batch["item_key"], batch["done"], batch["end_at"], strict=True)]
+            yield batch[["item_key", "piece_no", "start_at", "end_at", "added"]]
+
+    parts = places.select("item_key", "piece_no", "start_at", "end_at", before.alias("done")).mapInPandas(read, "item_key string, piece_no long, start_at long, end_at long, added binary")
+    whole = parts.groupBy("item_key").agg(F.max("end_at").alias("bytes"), F.max(F.col("end_at") - F.col("start_at")).alias("most"), F.sort_array(F.collect_list(F.struct("piece_no", F.hex("added").alias("x")))).alias("p"))
+    digest = F.md5(F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), "")))
+    return whole.select(F.regexp_extract("item_key", "/l=(x[0-9A-F]*)/", 1).alias("item_key"), "bytes", (F.col("most") <= limit).alias("within"), digest.alias("digest"))

@@ -22,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_redacted": _of(pii.redacted, "posts", "given_names"),
     "p3_found": _of(pieces.found, "posts", "kv_store_doc_status"),
     "p3_pieces": _of(pieces.pieces, "posts", "kv_store_doc_status"),
+    "p3_files": lambda spark, sf_dir: pieces.rejoined(ship(spark), table(spark, sf_dir, "documents")),
     "p6_ids": _of(tokens.encoded, "documents"),
+    "p6_decoded": _of(tokens.decoded, "documents"),
     "p7_found": _of(leaks.found, "documents", "benchmark"),
     "p7_leaks": _of(leaks.leaks, "documents", "benchmark"),
     "p8_found": _of(quality.found, "documents", "common_words"),
@@ -44,6 +46,8 @@ SELECT 'chunks_list', doc_id, CASE WHEN max(n) > 12 THEN 'inside' ELSE 'boundary
     SELECT doc_id, sum(CASE WHEN chunk IS NOT NULL AND before IS NOT NULL AND part > 0 AND before = base || CASE WHEN part > 1 THEN '-p' || (part - 1) ELSE '' END THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (
       SELECT doc_id, pos, chunk, lag(chunk) OVER (PARTITION BY doc_id ORDER BY pos) AS before, regexp_extract(chunk, '^(.*)-p[1-9][0-9]*$', 1) AS base, COALESCE(TRY_CAST(regexp_extract(chunk, '-p([1-9][0-9]*)$', 1) AS BIGINT), 0) AS part FROM (
         SELECT doc_id, unnest(range(1, len(chunks_list) + 1)) AS pos, unnest(chunks_list) AS chunk FROM ({_NEWEST.format('doc_id', 'kv_store_doc_status')}) WHERE len(chunks_list) > 12))) GROUP BY 1, 2) GROUP BY 1, 2""",
+    "p3_files": "SELECT l AS item_key, CAST(strlen(x) AS BIGINT) AS bytes, true AS within, md5(x) AS digest FROM (SELECT l, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS x FROM (SELECT doc_id, text, 'x' || hex(COALESCE(lang, '')) AS l FROM documents WHERE text IS NOT NULL) GROUP BY 1) WHERE strlen(x) > 4000",
+    "p6_decoded": "SELECT doc_id, COALESCE(text, '') AS text FROM documents",
     "p7_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 gi AS (SELECT DISTINCT item_id, array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i WHERE len(w) > 12)),

@@ -18,24 +18,32 @@ from pyspark.sql import types as T
 from ..sources.tables import columns
 
 # Look-alike letters and marks and their prototypes, by script (Unicode TS 39, only pairs whose glyphs
-# agree in case and shape; digits and letters such as 0 and O or 1 and l stay apart).
+# agree in case and shape; digits and letters such as 0 and O or 1 and l stay apart, and so do letters that only resemble
+# one another, such as α and a or γ and y).
 LOOK_ALIKES = {
     # Cyrillic, small and capital
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "ѵ": "v", "ԍ": "G",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Ԍ": "G", "Ԁ": "d", "З": "3", "Һ": "h",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Ԍ": "G", "Ԁ": "d", "Һ": "h",
     # Greek
     "ο": "o", "ν": "v", "ϳ": "j", "ρ": "p", "ι": "ı",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J",
     # Armenian
     "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "զ": "q", "Ս": "U", "Տ": "S", "Օ": "O",
     # Latin letters with the glyph of another one
-    "ɡ": "g", "ɩ": "ı", "ꓲ": "I",
+    "ɡ": "g", "ɩ": "ı",
+    # Small capitals that have the glyph of the small letter
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+    # Cherokee
+    "Ꭰ": "D", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Hyphens of one width
     "‐": "-", "‑": "-", "﹣": "-", "˗": "-",
     # Quotes, dots and other marks with one glyph
-    "ʼ": "’", "＇": "'", "‚": ",", "٫": ",", "∶": ":", "ː": ":", "։": ":", "․": ".", "‧": "·", "∙": "·", "⋅": "·", "・": "・", "‖": "||", "ǀ": "|", "∣": "|", "⁄": "/", "∕": "/", "∖": "\\", "‹": "‹",
+    "ʼ": "’", "＇": "'", "‚": ",", "٫": ",", "∶": ":", "ː": ":", "։": ":", "․": ".", "‧": "·", "∙": "·", "⋅": "·", "‖": "||", "ǀ": "|", "∣": "|", "⁄": "/", "∕": "/", "∖": "\\",
 }
-del LOOK_ALIKES["З"], LOOK_ALIKES["・"], LOOK_ALIKES["‹"]
 
 #: Kinds of compatibility decomposition that keep what a reader sees. Raised, lowered, circled, squared and fractional signs are signs of their own.
 SAME_SIGHT = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>")

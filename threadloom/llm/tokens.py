@@ -18,7 +18,8 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,12 +129,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def located(path: str) -> str:
+    """Where a worker has a vocabulary file: among the files sent along, else at its own path."""
+    sent = Path(SparkFiles.get(Path(path).name))
+    return str(sent) if sent.exists() else path
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary file to every executor, once a context."""
+    sent = getattr(spark.sparkContext, "_threadloom_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        spark.sparkContext._threadloom_files = sent | {path}
+
+
 def token_ids(text: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
     """Column of the ids of a text; an empty list where it is null or empty."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        encode = encoder(path).encode
+        encode = encoder(located(path)).encode
         return pd.Series([encode(x) if isinstance(x, str) else [] for x in texts], dtype=object)
 
     return ids(text)
@@ -141,4 +156,16 @@ def token_ids(text: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
 
 def encoded(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """p6_ids: doc_id, ids."""
+    send(documents.sparkSession, path)
     return columns(documents, "doc_id", "text").select("doc_id", token_ids("text", path).alias("ids"))
+
+
+def decoded(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """doc_id, text: each text encoded and decoded again; an empty text for a null one."""
+
+    @F.pandas_udf(T.StringType())
+    def texts(ids: pd.Series) -> pd.Series:
+        decode = encoder(located(path)).decode
+        return pd.Series([decode(x) for x in ids], dtype=object)
+
+    return encoded(documents, path).select("doc_id", texts("ids").alias("text"))
