@@ -55,6 +55,13 @@ def test_components_and_articulation(spark, seed):
     assert {r.name for r in graph.articulation_points(e).collect()} == cut
 
 
+def test_cut_nodes_of_a_long_chain(spark):
+    """Rounds grow with the logarithm: a chain of 300 nodes and a ring at its end."""
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(300)] + [("c300", "r1"), ("r1", "r2"), ("r2", "c300")]
+    got = {r.name for r in graph.articulation_points(edges_of(spark, chain)).collect()}
+    assert got == {f"c{i:03d}" for i in range(1, 301)}
+
+
 def test_levels_paths_and_rank(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d"), ("d", "f")]
     e = edges_of(spark, pairs)

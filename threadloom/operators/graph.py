@@ -360,57 +360,101 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("name").distinct().join(labelled, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
+def spanning_forest(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) edges of a forest that spans every component, and (name, root) of its nodes; adj has x, y in both directions.
+
+    Each round every component takes its least edge to another one, in an order all edges share, so that what is taken holds
+    no cycle; components at least halve a round, and pointers to those they join are shortened by doubling.
+    """
+    edges = materialize(adj.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.xxhash64("x", "y").alias("h")), "forest")
+    member = materialize(adj.select(F.col("x").alias("name")).distinct().withColumn("root", F.col("name")), "member")
+    taken = None
+    while True:
+        both = edges.join(member.toDF("a", "ra"), "a").join(member.toDF("b", "rb"), "b").where("ra <> rb")
+        key = F.struct("h", "a", "b")
+        sides = both.select(F.col("ra").alias("c"), F.col("rb").alias("d"), key.alias("k")).unionAll(both.select("rb", "ra", key))
+        best = materialize(sides.groupBy("c").agg(F.min(F.struct("k", "d")).alias("m")).select("c", "m.d", "m.k.a", "m.k.b"), "best")
+        if best.isEmpty():
+            break
+        new = best.select("a", "b").distinct()
+        taken = new if taken is None else taken.unionByName(new)
+        mutual = best.select(F.col("d").alias("c"), F.col("c").alias("d"), F.lit(True).alias("mutual"))
+        up = best.select("c", "d").join(mutual, ["c", "d"], "left").select("c", F.when(F.col("mutual") & (F.col("c") < F.col("d")), F.col("c")).otherwise(F.col("d")).alias("p"))
+        while True:
+            up = materialize(up, "up")
+            further = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved"))
+            further = materialize(further, "up")
+            up = further.select("c", "p")
+            if further.where("moved").isEmpty():
+                break
+        member = materialize(member.join(up.toDF("root", "top"), "root", "left").select("name", F.coalesce("top", "root").alias("root")), "member")
+    return (edges.select("a", "b").limit(0) if taken is None else materialize(taken.distinct(), "forest")), member
+
+
+def rooted(forest: DataFrame, member: DataFrame) -> DataFrame:
+    """name, parent, root, size, pre of a forest's nodes: numbered in preorder (all trees on one line), with the size of the subtree below each.
+
+    An Euler tour is ranked by doubling, so the number of rounds is the logarithm of its length, whatever the depth.
+    """
+    arcs = forest.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(forest.select("b", "a"))
+    arcs = materialize(numbered(arcs, F.asc("x"), F.asc("y"), name="i"), "arcs")
+    ends = arcs.groupBy("x").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    back = arcs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("i").alias("r"))
+    start = member.where("name = root").select(F.col("name").alias("x")).join(ends, "x").select(F.col("first").alias("s"), F.lit(True).alias("start"))
+    linked = arcs.join(back, ["x", "y"]).join(ends.withColumnRenamed("x", "y"), "y").select("x", "y", "i", "r", F.when(F.col("r") == F.col("last"), F.col("first")).otherwise(F.col("r") + 1).alias("s"))
+    linked = linked.join(start, "s", "left").select("x", "y", "i", "r", F.when(F.col("start").isNull(), F.col("s")).alias("s"))
+    linked = materialize(linked, "tour")
+    rank = linked.select("i", "s", F.lit(1).cast("long").alias("d"))  # d: arcs from here to where s is
+    while not rank.where("s IS NOT NULL").isEmpty():
+        ahead = rank.select(F.col("i").alias("s"), F.col("s").alias("s2"), F.col("d").alias("d2"))
+        rank = materialize(rank.join(ahead, "s", "left").select("i", F.col("s2").alias("s"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), "rank")
+    placed = linked.join(rank.select("i", "d"), "i").join(rank.select(F.col("i").alias("r"), F.col("d").alias("rd")), "r")
+    down = placed.where("d > rd").select(F.col("y").alias("name"), F.col("x").alias("parent"), "d", ((F.col("d") - F.col("rd") + 1) / 2).cast("long").alias("size"))
+    trees = member.groupBy("root").agg(F.count("*").alias("n"))
+    roots = trees.select(F.col("root").alias("name"), F.lit(None).cast("string").alias("parent"), (F.col("n") * 2).alias("d"), F.col("n").alias("size"))
+    nodes = down.unionByName(roots).join(member, "name")
+    return materialize(numbered(nodes, F.asc("root"), F.desc("d"), name="pre").drop("d"), "rooted")
+
+
+def subtree_bounds(nodes: DataFrame) -> DataFrame:
+    """name, low, high: least lo and greatest hi in the subtree of each of the nodes (name, pre, size, lo, hi).
+
+    A subtree is a stretch of preorder numbers, so two overlapping blocks of a power of two cover it; blocks are doubled as
+    often as the largest subtree needs.
+    """
+    block = materialize(nodes.select("pre", "lo", "hi"), "blocks")
+    asked = materialize(nodes.select("name", "pre", "size", F.floor(F.log2("size") + 1e-9).cast("int").alias("k")), "asked")
+    found, k = None, 0
+    top = asked.agg(F.max("k")).first()[0]
+    while top is not None and k <= top:
+        q = asked.where(F.col("k") == k)
+        ends = q.select("name", F.explode(F.array("pre", F.col("pre") + F.col("size") - (1 << k))).alias("pre"))
+        part = ends.join(block, "pre").groupBy("name").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+        found = part if found is None else found.unionByName(part)
+        if k < top:
+            ahead = block.select((F.col("pre") - (1 << k)).alias("pre"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            block = materialize(block.join(ahead, "pre", "left").select("pre", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")), "blocks")
+        k += 1
+    return nodes.select("name", F.col("lo").alias("low"), F.col("hi").alias("high")) if found is None else materialize(found, "bounds")
+
+
 def articulation_points(edges: DataFrame) -> DataFrame:
     """name of every node whose removal disconnects its component, without gathering a component.
 
-    A breadth-first forest is numbered in preorder, level by level; the least and greatest numbers that a subtree's other
-    edges reach decide which tree edges belong to one block; a node on tree edges of several blocks is one.
+    A spanning forest is numbered in preorder; the least and greatest numbers that a subtree's other edges reach decide which
+    tree edges belong to one block; a node on tree edges of several blocks is one. Every step takes rounds by the logarithm of
+    the number of nodes: a chain needs no more than a star.
     """
     adj = materialize(adjacency(edges).where("x <> y").select("x", "y").distinct(), "adj")
-    root = components(edges).select("name", F.col("component").alias("root"))
-    tree = materialize(root.where("name = root").select("name", "root", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")), "tree")
-    depth = 0
-    while True:
-        frontier = tree.where(F.col("depth") == depth).select(F.col("name").alias("x"), "root")
-        new = adj.join(frontier, "x").join(tree.select(F.col("name").alias("y")), "y", "left_anti").groupBy(F.col("y").alias("name"), "root").agg(F.min("x").alias("parent"))
-        new = materialize(new.select("name", "root", "parent", F.lit(depth + 1).alias("depth")), "tree")
-        if new.isEmpty():
-            break
-        tree, depth = tree.unionByName(new), depth + 1
-    tree = materialize(tree, "tree")
-
-    def upward(values: DataFrame, agg: Column, name: str) -> DataFrame:
-        """name, value over each node's subtree, from the lowest level up; values has (name, parent, depth, value)."""
-        done = values.where(F.col("depth") == depth)
-        for level in range(depth - 1, -1, -1):
-            below = done.where(F.col("depth") == level + 1).select(F.col("parent").alias("name"), "value")
-            here = values.where(F.col("depth") == level)
-            merged = here.select("name", "value").unionByName(below).groupBy("name").agg(agg.alias("value"))
-            done = done.unionByName(here.drop("value").join(merged, "name").select(*values.columns))
-            if (depth - level) % ROUNDS == 0:
-                done = materialize(done, name)
-        return materialize(done, name)
-
-    size = upward(tree.select("name", "parent", "depth", F.lit(1).cast("long").alias("value")), F.sum("value"), "size").select("name", "parent", "depth", F.col("value").alias("size"))
-    before = Window.partitionBy("parent").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    offset = size.where("parent IS NOT NULL").withColumn("off", F.coalesce(F.sum("size").over(before), F.lit(0)) + 1)
-    numbered = size.where("parent IS NULL").select("name", F.lit(0).cast("long").alias("pre"), F.lit(0).alias("depth"))
-    for level in range(1, depth + 1):
-        up = numbered.where(F.col("depth") == level - 1).select(F.col("name").alias("parent"), F.col("pre").alias("p"))
-        numbered = numbered.unionByName(offset.where(F.col("depth") == level).join(up, "parent").select("name", (F.col("p") + F.col("off")).alias("pre"), F.lit(level).alias("depth")))
-        if level % ROUNDS == 0:
-            numbered = materialize(numbered, "pre")
-    t = materialize(tree.select("name", "parent", "depth", "root").join(size.select("name", "size"), "name").join(numbered.select("name", "pre"), "name"), "numbered")
+    t = rooted(*spanning_forest(adj))
     pre = t.select("name", "pre")
     pairs = adj.join(pre.toDF("x", "px"), "x").join(pre.toDF("y", "py"), "y")
     own = t.select(F.col("name").alias("x"), "parent")
     other = pairs.join(own, "x").join(own.toDF("y", "parent_y"), "y").where("(parent IS NULL OR parent <> y) AND (parent_y IS NULL OR parent_y <> x)").select("x", "y", "px", "py")
     other = materialize(other, "other")
     reach = other.groupBy(F.col("x").alias("name")).agg(F.min("py").alias("lo"), F.max("py").alias("hi"))
-    base = t.join(reach, "name", "left")
-    low = upward(base.select("name", "parent", "depth", F.least("pre", "lo").alias("value")), F.min("value"), "low").select("name", F.col("value").alias("low"))
-    high = upward(base.select("name", "parent", "depth", F.greatest("pre", "hi").alias("value")), F.max("value"), "high").select("name", F.col("value").alias("high"))
-    full = t.join(low, "name").join(high, "name")
+    base = t.join(reach, "name", "left").select("name", "pre", "size", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi"))
+    full = t.join(subtree_bounds(base), "name")
     up = t.select(F.col("name").alias("parent"), F.col("pre").alias("ppre"), F.col("size").alias("psize"), F.col("parent").alias("grand"))
     vertical = full.where("parent IS NOT NULL").join(up, "parent").where("grand IS NOT NULL AND (low < ppre OR high >= ppre + psize)").select(F.col("name").alias("a"), F.col("parent").alias("b"))
     sizes = t.select(F.col("name").alias("x"), "size")
