@@ -117,12 +117,26 @@ def _context(entities: DataFrame, near: DataFrame, relations: DataFrame) -> Data
     )
 
 
-def mix_context(nodes: DataFrame, edges: DataFrame, relations: DataFrame, question: str) -> DataFrame:
-    """The union of both contexts, each item once by its better score."""
+def naive_context(chunks: DataFrame, question: str, k: int = TOP) -> DataFrame:
+    """kind, item, score: the chunks (topic_id, chunk_no, chunk) nearest to a question by their own vectors."""
+    tid = F.concat(F.lit("topic-"), F.col("topic_id").cast("string"))
+    c = chunks.select(F.xxhash64("topic_id", "chunk_no").alias("key"), tid.alias("item"), embedded(F.col("chunk")).alias("vector"))
+    hits = top_k(_question(c, question), c.select("key", "vector"), "key", "vector", k).select(F.col("row_id").alias("key"), "score").join(c.select("key", "item"), "key")
+    return hits.groupBy("item").agg(F.max("score").alias("score")).select(F.lit("chunk").alias("kind"), "item", "score")
+
+
+def hybrid_context(nodes: DataFrame, edges: DataFrame, relations: DataFrame, question: str) -> DataFrame:
+    """The union of the local and the global context, each item once by its better score."""
     both = local_context(nodes, edges, relations, question).unionByName(global_context(nodes, edges, relations, question))
     return both.groupBy("kind", "item").agg(F.max("score").alias("score"))
 
 
+def mix_context(nodes: DataFrame, edges: DataFrame, relations: DataFrame, chunks: DataFrame, question: str) -> DataFrame:
+    """The hybrid context and the chunks nearest to the question, each item once by its better score."""
+    both = hybrid_context(nodes, edges, relations, question).unionByName(naive_context(chunks, question))
+    return both.groupBy("kind", "item").agg(F.max("score").alias("score"))
+
+
 def k_means(rows: DataFrame, key: str, vector: str, k: int = 50, seed: int = 42) -> DataFrame:
     """key, centroid of each vector of unit length, by distributed k-means++."""
     from pyspark.ml.clustering import KMeans

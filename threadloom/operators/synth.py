@@ -7,7 +7,7 @@ reply, and most replies answer the first post.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: users, topics and mean replies of a topic by scale.
@@ -69,3 +69,19 @@ def posts(spark: SparkSession, scale: str = "tiny", seed: int = 42) -> DataFrame
         F.when(~first, F.when(u("to") < 0.8, 1).otherwise(F.greatest(F.lit(1), F.floor(u("which") * F.col("post_number"))))).cast("int").alias("reply_to"),
         (~first & (u("quote") < 0.2)).alias("quotes"), (~first & (F.col("post_number") == F.col("replies") + 1) & (F.col("category") == "Help") & (u("solved") < 0.15)).alias("solved"),
     )
+
+
+def extension(spark: SparkSession, scale: str = "tiny", seed: int = 42, new: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(topics, posts) that a forum gets after its end: `new` topics of the next 1 to 30 days, and replies to topics of before, the later ones more often."""
+    n_users, n, _ = SCALES[scale]
+    i, end = F.col("id"), F.to_timestamp_ntz(F.lit(START)) + F.make_dt_interval(days=F.lit(DAYS))
+    u = lambda salt: uniform(seed, "more " + salt, i)
+    at = end + F.make_dt_interval(mins=F.floor(1440 * (1 + u("day") * 29)).cast("int"))
+    title = F.concat(F.lit("The "), chosen(SUBJECTS, u("subject")), F.lit(" "), chosen(STATES, u("state")), F.lit(" again"))
+    t = spark.range(n, n + new).select(i.alias("topic_id"), title.alias("title"), chosen(CORE, u("category")).alias("category"), _author(n_users, u("author")).alias("author"), at.alias("created_at"))
+    last = topics(spark, scale, seed).select("topic_id", (F.col("replies") + 1).alias("last"))
+    replies = spark.range(new).select(F.floor(F.sqrt(u("which")) * n).alias("topic_id"), _author(n_users, u("who")).alias("author"), at.alias("created_at"))
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("created_at", "author"))
+    p = replies.join(last, "topic_id").select("topic_id", (F.col("last") + place).alias("post_number"), "author", "created_at")
+    first = t.select("topic_id", F.lit(1).alias("post_number"), "author", "created_at")
+    return t, first.unionByName(p.withColumn("post_number", F.col("post_number").cast("int")))

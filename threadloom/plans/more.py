@@ -11,6 +11,7 @@ from .. import streaming
 from ..functions import text as X
 from ..operators import cluster
 from ..operators import graph as G
+from ..operators import kg as K
 from ..operators import retrieve as V
 from ..session import materialize, ship
 from ..sources.tables import table
@@ -50,7 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_buckets": _graph(lambda g: cluster.keyword_buckets(g.edges, materialize(G.keyword_counts(g.edges), "keywords"))),
     "local_context": _graph(lambda g: V.local_context(g.nodes, g.edges, g.relations, QUESTION)),
     "global_context": _graph(lambda g: V.global_context(g.nodes, g.edges, g.relations, QUESTION)),
-    "mix_context": _graph(lambda g: V.mix_context(g.nodes, g.edges, g.relations, QUESTION)),
+    "hybrid_context": _graph(lambda g: V.hybrid_context(g.nodes, g.edges, g.relations, QUESTION)),
+    "mix_context": _graph(lambda g: V.mix_context(g.nodes, g.edges, g.relations, K.token_chunks(K.topic_documents(g.c), "topic_id", "document", 1200, 100), QUESTION)),
     "stream_upsert": lambda spark, sf_dir: streaming.upsert_topics(ship(spark), f"{sf_dir}/topics.parquet").select("id", "title", "views", "fetched_at"),
     "stream_tumbling": lambda spark, sf_dir: streaming.tumbling(ship(spark), f"{sf_dir}/events.parquet"),
 }

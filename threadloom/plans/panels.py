@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cli import LABELS
 from ..operators import graph as G
 from ..operators import kg as K
 from ..operators import panels as P
@@ -16,7 +17,6 @@ from ..sources.tables import table
 from .forum import over
 from .graph import _SUPER, SEED, Graph, on
 
-LABELS = {"fault": ("crash", "stall", "freez", "stops", "fail", "error"), "wish": ("idea", "wish", "please"), "question": ("how", "why", "?"), "place": ("station", "yard", "line", "near")}
 TEMPLATE = "[{category}] {title} ({views} views)"
 PREFERRED = ("No such category", "Shaders", "Bridges", "Bug Yard")
 BOX = (-0.5, -0.5, 0.5, 0.5)
