@@ -21,6 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -264,21 +265,22 @@ def lines(documents: DataFrame, common: frozenset[str]) -> DataFrame:
     return materialize(columns(documents, "doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(scan, _LINES), "lines")
 
 
-def _stacked(batch: pd.DataFrame) -> np.ndarray:
-    return np.concatenate(batch["x"].to_numpy()).astype(float).reshape(-1, len(FEATURES))
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    """All lines of a batch, read from its buffer without an object for each document."""
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(FEATURES))
 
 
 def _moments(rows: DataFrame, known: np.ndarray, examples: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of each statistic over all lines and, by their pull, over the examples."""
     d = len(FEATURES)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
+            if batch.num_rows:
                 x = _stacked(batch)
-                yield pd.DataFrame({"j": np.arange(d), "n": len(x), "s": x.sum(0), "q": (x**2).sum(0)})
+                yield pa.RecordBatch.from_pydict({"j": np.arange(d, dtype=np.int32), "n": np.full(d, len(x)), "s": x.sum(0), "q": (x**2).sum(0)})
 
-    found = rows.select("x").mapInPandas(sums, "j int, n long, s double, q double").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).toPandas().sort_values("j")
+    found = rows.select("x").mapInArrow(sums, "j int, n long, s double, q double").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).toPandas().sort_values("j")
     n, s, q = (found[c].to_numpy(dtype=float) if len(found) else np.zeros(d) for c in ("n", "s", "q"))
     weight = examples * np.maximum(PRIOR_LEAST, PRIOR_SHARE * n)
     mean = (s + weight * known.mean(0)) / (n + weight)
@@ -299,17 +301,17 @@ def fit(rows: DataFrame, common: frozenset[str]) -> Mixture:
     before = -np.inf
     while True:  # until a step gains no more than GAIN
 
-        def step(batches: Iterator[pd.DataFrame], model: Mixture = model) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch], model: Mixture = model) -> Iterator[pa.RecordBatch]:
             n, s, q, like, count = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0, 0
             for batch in batches:
-                if len(batch):
+                if batch.num_rows:
                     z = model.standard(_stacked(batch))
                     p, log = model.posterior(z)
                     n, s, q, like, count = n + p.sum(0), s + p.T @ z, q + p.T @ z**2, like + log.sum(), count + len(z)
-            at = np.indices((k, d)).reshape(2, -1)
-            yield pd.DataFrame({"k": at[0], "j": at[1], "n": np.repeat(n, d), "s": s.ravel(), "q": q.ravel(), "like": like, "rows": count})
+            at = np.indices((k, d), dtype=np.int32).reshape(2, -1)
+            yield pa.RecordBatch.from_pydict({"k": at[0], "j": at[1], "n": np.repeat(n, d), "s": s.ravel(), "q": q.ravel(), "like": np.full(k * d, like), "rows": np.full(k * d, count)})
 
-        sums = rows.select("x").mapInPandas(step, "k int, j int, n double, s double, q double, like double, rows long").groupBy("k", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "like", "rows")]).toPandas().sort_values(["k", "j"])
+        sums = rows.select("x").mapInArrow(step, "k int, j int, n double, s double, q double, like double, rows long").groupBy("k", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "like", "rows")]).toPandas().sort_values(["k", "j"])
         if not len(sums) or not sums["rows"].iloc[0]:
             break
         n, s, q = sums["n"].to_numpy().reshape(k, d)[:, :1], sums["s"].to_numpy().reshape(k, d), sums["q"].to_numpy().reshape(k, d)
