@@ -1,7 +1,10 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import nested
+from threadloom.plans import training
 
 SCHEMA = "record_id long, file_path string, fetched_at timestamp_ntz, body string"
 DAY = [datetime.datetime(2026, 1, d) for d in range(1, 9)]
@@ -100,3 +103,66 @@ def test_deep_nesting_of_objects():
     deep = '{"a": ' * 20_000 + "1" + "}" * 20_000
     assert [t[4] for t in nested.triples('{"id": 7, "odd": ' + deep + "}")] == [None, "id", "odd"]
     assert nested.triples('{"tags": ' + "[" * 3000 + '{"slug": 1}' + "]" * 3000 + "}")[-1][4:] == ("slug", "1")
+
+
+def written(monkeypatch):
+    """What the reader writes, as it is written."""
+    kept, write = [], nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, tag: kept.append(write(df, tag)) or kept[-1])
+    return kept
+
+
+def test_links_come_from_triples_with_values(spark, monkeypatch, tmp_path):
+    """p4_found's own triples hold values, a row each, and its rows are those of the pivoted tables."""
+    body = {"id": 7, "tags": ["a", None], "posts": [{"id": 5, "link_counts": [{"url": "u"}], "polls": {"name": "p", "options": [{"label": "x"}]}}]}
+    spark.createDataFrame([(1, "7.json", DAY[0], json.dumps(body))], SCHEMA).write.parquet(f"{tmp_path}/topic_files.parquet")
+    kept = written(monkeypatch)
+    links = training.QUERIES["p4_found"](spark, str(tmp_path)).collect()
+    assert {(r.path, r.ordinal, r.field, r.value) for r in kept[0].where("field IS NOT NULL").collect()} == {
+        ("topic", 0, "id", "7"), ("tags/0", 0, "value", "a"), ("posts/0", 0, "id", "5"), ("posts/0/link_counts/0", 0, "url", "u"), ("posts/0/polls/0", 0, "name", "p"), ("posts/0/polls/0/options/0", 0, "label", "x"),
+    }
+    tables = [training.QUERIES[f"p4_{t}"](spark, str(tmp_path)).select("topic_id", "parent_path", "path").collect() for t in ("posts", "tags", "links", "polls", "options")]
+    assert sorted(map(tuple, links)) == sorted(tuple(r) for t in tables for r in t)
+
+
+def test_reader_hands_on_while_it_reads():
+    """Of a long record no more than some HELD triples are held; those of a name that comes again, handed on or not, are void."""
+    text = '{"posts": [' + ", ".join('{"id": %d, "id": %d, "polls": [{"name": "p"}]}' % (i, -i) for i in range(5000)) + '], "a": {"b": [{"c": 1}, {"c": 2}]}, "tags": ["x"], "a": 3}'
+    for held in (1, 7, 1000, nested.HELD):
+        reading, rows, longest = nested.stream(text, held=held), {}, 0
+        while True:
+            try:
+                start, some = next(reading)
+            except StopIteration as e:
+                voids = e.value
+                break
+            longest = max(longest, len(some))
+            rows |= {start + i: t for i, t in enumerate(some) if t is not None}
+        assert longest <= held + 4
+        assert [t for i, t in sorted(rows.items()) if not any(a <= i < b for a, b in voids)] == nested.triples(text)
+        assert voids or held > 7
+    assert [t[2:] for t in nested.triples(text)[-3:]] == [("tags/0", 0, None, None), ("tags/0", 0, "value", "x"), ("topic", 0, "a", "3")]
+
+
+def test_triples_handed_on_of_void_records(spark, monkeypatch):
+    """A record cut off after triples were handed on counts for nothing, a name that comes again for its last value."""
+    many = json.dumps(["t"] * nested.HELD)
+    rows = [(1, "1.json", DAY[0], '{"tags": ["x"]}'), (2, "1.json", DAY[1], f'{{"tags": {many}'), (3, "2.json", DAY[0], f'{{"tags": {many}, "posts": [{{"id": 1}}], "tags": ["z"], "title": "half \\ud83d"}}')]
+    kept = written(monkeypatch)
+    every = nested.record_triples(spark.createDataFrame(rows, SCHEMA))
+    assert {r.record_id: (r.n > nested.HELD, r.voids) for r in kept[0].groupBy("record_id").agg(F.count("kind").alias("n"), F.count("voids").alias("voids")).collect()} == {1: (False, 0), 2: (True, 0), 3: (True, 1)}
+    assert {(r.topic_id, r.value) for r in nested.pivot(every, "tags", nested.TABLES["tags"]).collect()} == {(1, "x"), (2, "z")}
+    assert sorted(r.child_path for r in nested.element_paths(every).collect()) == ["posts/0", "tags/0", "tags/0"]
+    assert nested.pivot(every, "topic", {"title": "string"}).where("topic_id = 2").first().title == "half \ufffd"
+
+
+def test_group_in_one_record_is_one_in_all(spark):
+    """Lone objects, scalars and arrays in arrays of a group that only another record shows."""
+    bodies = [{"posts": [{"marks": [{"u": 1}], "grid": [[{"z": 1}]]}]}, {"posts": [{"marks": {"u": 2}, "grid": [[5], 6]}]}, {"posts": [{"marks": ["m"]}]}]
+    every = nested.record_triples(spark.createDataFrame([(i, f"{i}.json", DAY[0], json.dumps(b)) for i, b in enumerate(bodies, 1)], SCHEMA))
+    assert {(r.topic_id, r.path): r.rest for r in nested.others(every).collect()} == {
+        (1, "posts/0/marks/0"): {"u": "1"}, (1, "posts/0/grid/0"): {}, (1, "posts/0/grid/0/0"): {"z": "1"},
+        (2, "posts/0/marks/0"): {"u": "2"}, (2, "posts/0/grid/0"): {}, (2, "posts/0/grid/0/0"): {"value": "5"}, (2, "posts/0/grid/1"): {"value": "6"},
+        (3, "posts/0/marks/0"): {"value": "m"},
+    }
+    assert [r.rest for r in nested.pivot(every, "posts", {}).collect()] == [{}, {}, {}]
